@@ -29,7 +29,7 @@ def normalised(text: Column) -> Column:
 def _rank(text: Column, doc_id: Column) -> Column:
     """One number that orders by length in code points, then by smallest id (null last)."""
     length = F.length(text).cast("decimal(11,0)")
-    return length * F.lit(10**20).cast("decimal(21,0)") - F.coalesce(doc_id, F.lit(LAST_ID)).cast("decimal(20,0)")
+    return length * F.lit("1" + "0" * 20).cast("decimal(21,0)") - F.coalesce(doc_id, F.lit(LAST_ID)).cast("decimal(20,0)")
 
 
 def _classes(rows: DataFrame, hot: DataFrame) -> DataFrame:
