@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import decontaminate, exact_dedup, langid, mixing, secret_scan, simhash
+from . import byte_dedup, decontaminate, exact_dedup, langid, licenses, mixing, pii, secret_scan, simhash, substring_dedup
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_byte_dedup(spark, sf_dir: str) -> DataFrame:
+    return byte_dedup.without_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +32,15 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark, sf_dir: str) -> DataFrame:
+    found = pii.with_surrogates(table(spark, sf_dir, "documents"))
+    return found.withColumn("text_sha256", F.sha2("text", 256))
+
+
+def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 

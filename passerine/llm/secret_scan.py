@@ -136,20 +136,28 @@ class Dfa:
             nfa.eps[root].append(at)
             ends[nfa.add(rule, at)] = 1 << i
         classes = self._byte_classes(nfa)
-        begin = nfa.closure([root])
+        # sets of states as bits; each state's targets, closed, are made once for each byte class
+        bits = lambda states: sum(1 << s for s in states)
+        begin = bits(nfa.closure([root]))
+        step = [[bits(nfa.closure({t for chars, t in on if byte in chars})) for byte in classes[1]] for on in nfa.on]
+        ended = bits(ends)
         index, rows, marks, todo = {begin: 0}, [], [], [begin]
         while len(rows) < len(todo):
-            now = todo[len(rows)]
-            row = []
-            for byte in classes[1]:
-                to = {t for s in now for chars, t in nfa.on[s] if byte in chars}
-                nxt = nfa.closure(to | {root} if anywhere else to)
+            now, members, row = todo[len(rows)], [], [begin if anywhere else 0] * len(classes[1])
+            rest = now
+            while rest:
+                low = rest & -rest
+                members.append(low.bit_length() - 1)
+                rest ^= low
+            for s in members:
+                if nfa.on[s]:
+                    row = [a | b for a, b in zip(row, step[s], strict=True)]
+            for nxt in row:
                 if nxt not in index:
                     index[nxt] = len(todo)
                     todo.append(nxt)
-                row.append(index[nxt])
-            rows.append(row)
-            marks.append(sum({ends[s] for s in now if s in ends}))
+            rows.append([index[x] for x in row])
+            marks.append(sum(ends[s] for s in members if ended >> s & 1))
         group = self._minimised(rows, marks)
         order = sorted(set(group), key=lambda g: (marks[group.index(g)] != 0, g != group[0], g))
         place = {g: i for i, g in enumerate(order)}

@@ -151,7 +151,7 @@ def _keys(parts: list[tuple[int, int]]) -> tuple[Column, Column]:
 
 def _forest(fps: np.ndarray, exact: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between exact members and all members of a bucket."""
-    todo, edges = fps.copy(), []
+    todo, edges = fps.view(np.uint64), []  # the bit count of a negative number would be that of its absolute value
     left = np.ones(len(fps), bool)
     while left.any():  # breadth first; each member is taken from ``left`` once and compared with what is left
         front = [int(np.flatnonzero(left)[0])]
