@@ -1,0 +1 @@
+"""Spark-native acoustic event analytics."""
