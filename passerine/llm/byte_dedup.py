@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, text_classes
 
 SPAN, GRAM = 200, 32
 SIDE = SPAN - GRAM
@@ -161,13 +161,12 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     strings, so all of them go.  Other columns are not looked at; an empty table
     gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("sha", F.sha2("text", 256))
-    texts = rows.groupBy("sha").agg(F.any_value("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied"))
-    texts = checkpoint(texts.withColumn("tid", F.monotonically_increasing_id()))
-    anchors = texts.select("tid", "text").mapInArrow(_anchors, "anchor long, tid long, n long")
+    rows, classes = text_classes(docs, id_col, text_col)
+    anchors = checkpoint(rows.select("tid", "text").mapInArrow(_anchors, "anchor long, tid long, n long"))
     shared = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.select("anchor", "tid").join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("wanted"))
-    found = texts.join(wanted, "tid").select("tid", "text", "wanted").mapInArrow(_contexts, "anchor long, tid long, at long, before binary, after binary")
+    reps = classes.where("rep = tid").select("tid")
+    wanted = anchors.select("anchor", "tid").join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("wanted")).join(reps, "tid")
+    found = rows.select("tid", "text").join(wanted, "tid").select("tid", "text", "wanted").mapInArrow(_contexts, "anchor long, tid long, at long, before binary, after binary")
     found = checkpoint(found.withColumn("ctx", F.xxhash64("before", "after")))
     contexts = found.groupBy("anchor", "ctx").agg(F.any_value("before").alias("before"), F.any_value("after").alias("after"), F.count(F.lit(1)).alias("n"))
     contexts = checkpoint(contexts)
@@ -177,5 +176,6 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     dealt = paired.select("anchor", "ctx", "before", "after", "n", "p.i", "p.j").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
     spread = dealt.mapInArrow(_compare, "anchor long, ctx long, l long, r long").where("l >= 0").groupBy("anchor", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     spans = found.select("anchor", "ctx", "tid", "at").join(spread, ["anchor", "ctx"]).groupBy("tid").agg(F.collect_list(F.struct((F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("r")).alias("b"))).alias("spans"))
-    joined = rows.join(texts.select("sha", "tid", "copied"), "sha").join(spans, "tid", "left")
+    cuts = classes.join(spans.withColumnRenamed("tid", "rep"), "rep", "left").select("tid", "spans", (F.col("copies") > 1).alias("copied"))
+    joined = rows.select("tid", "doc_id", "text").join(cuts, "tid")
     return joined.select("doc_id", "text", "spans", "copied").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
