@@ -7,26 +7,28 @@ groupings, and lineage is cut with a reliable checkpoint after each of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .common import checkpoint
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.explode(ways).alias("e")).select("e.u", "e.v")
 
 
-def _stars(arcs: DataFrame, larger: bool) -> DataFrame:
-    """Links of u's neighbours v (with u itself) to the smallest of them."""
+def _large_star(arcs: DataFrame) -> DataFrame:
+    """u's larger neighbours, linked to the smallest node around u."""
     least = arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    linked = arcs.join(least, "u")
-    if larger:
-        out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.where("u <> m").select("u", F.col("m").alias("v"))
-        )
-    return out.where("u <> v").distinct()
+    linked = arcs.join(least, "u").where("v > u")
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(arcs: DataFrame) -> DataFrame:
+    """u and its neighbours, all smaller than u, linked to the smallest of them."""
+    least = arcs.groupBy("u").agg(F.min("v").alias("m"))
+    ends = F.explode(F.array("u", "v"))
+    return arcs.join(least, "u").select(ends.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,10 +40,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = checkpoint(arcs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
-        big = _stars(_both(now), larger=True)
-        now = checkpoint(_stars(big, larger=False))
         # all edges lead from a node to a smaller one; at the end each node has one and no target has any
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        edge_sum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        now = checkpoint(_small_star(_large_star(_both(now))).observe(seen, F.count(F.lit(1)).alias("n"), edge_sum.alias("s")))
+        new = seen.get
         if new == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
