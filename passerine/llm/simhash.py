@@ -245,10 +245,3 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` that are the first of their component; all of them with a null id stay."""
-    found = near_components(docs, id_col, text_col)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(drop, docs[id_col] == drop["__id"], "left_anti")
