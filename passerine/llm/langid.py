@@ -10,6 +10,10 @@ Four kinds of evidence are multiplied for each document:
 * the host: a prior smoothed from the host over its domain to the corpus, all
   counted by grouped aggregation over every document.
 
+A text may also be in no language that has labels, or be noise: that hypothesis
+takes part with a likelihood of its own, between that of trigrams drawn evenly
+and that which the fit sample has under its own model.
+
 The trigram model is fitted on a bounded sample of labelled rows; everything
 else is counted over all rows.
 """
@@ -35,6 +39,8 @@ TEMPER = 40.0
 KAPPA = 20.0
 #: A document is rejected below this posterior of its best language.
 LEAST_POSTERIOR = 0.5
+#: Prior of a text in no labelled language, and how far its mean log likelihood a trigram stands from even towards the fit sample's.
+UNKNOWN_PRIOR, UNKNOWN_STEP = 0.01, 0.25
 #: Country suffixes that speak for a language; fixed values, ISO 3166 and ISO 639-1.
 SUFFIXES = {"at": "de", "de": "de", "es": "es", "fr": "fr", "ie": "en", "it": "it", "mx": "es", "nl": "nl", "pt": "pt", "uk": "en", "us": "en"}
 SUFFIX_WEIGHT = 4.0
@@ -77,10 +83,18 @@ def fit(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id
     return langs, np.log(model / model.sum(axis=0))
 
 
+def unknown_level(model: np.ndarray) -> float:
+    """Mean log likelihood a trigram of a text in no labelled language."""
+    own = float((np.exp(model) * model).sum(axis=0).min())  # of the language whose text is the least predictable
+    return -np.log(BINS) + UNKNOWN_STEP * (own + np.log(BINS))
+
+
 def _score(model: np.ndarray):
+    level = unknown_level(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, letters = [], []
+            out, unknown, letters = [], [], []
             for x in batch.column("_text"):
                 text = x.as_py()
                 counts = _bins(text)
@@ -88,8 +102,9 @@ def _score(model: np.ndarray):
                 has = any(c.isalpha() for c in text)
                 letters.append(has)
                 out.append((counts @ model * (min(1.0, TEMPER / n) if n and has else 0.0)).tolist())
-            cols = [*[batch.column(c) for c in batch.schema.names if c != "_text"], pa.array(out, pa.list_(pa.float64())), pa.array(letters, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*[c for c in batch.schema.names if c != "_text"], "_ll", "_letters"])
+                unknown.append(min(n, TEMPER) * level if has else 0.0)
+            cols = [*[batch.column(c) for c in batch.schema.names if c != "_text"], pa.array(out, pa.list_(pa.float64())), pa.array(unknown, pa.float64()), pa.array(letters, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*[c for c in batch.schema.names if c != "_text"], "_ll", "_unknown", "_letters"])
 
     return run
 
@@ -114,7 +129,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ad
     """One row per document: doc_id, language, posterior, text_language, declared_language, host, accepted, text_hash.
 
     A text without letters, null ones included, has no text evidence and is
-    language 'und', not accepted; so is everything if no row is labelled.  A null
+    language 'und', not accepted; so is a text that no language explains better
+    than the unknown one, and everything if no row is labelled.  The posterior is
+    that of the best labelled language, against the others and the unknown.  A null
     declaration or address is no evidence.  Ties go to the language first in the
     alphabet.  Repeated rows are judged alike; other columns are not looked at.
     """
@@ -127,12 +144,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ad
     )
     if not langs:
         return slim.select("doc_id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_language"), F.col("declared").alias("declared_language"), "host", F.lit(False).alias("accepted"), "text_hash")
-    schema = f"doc_id {dict(slim.dtypes)['doc_id']}, declared string, host string, text_hash long, _ll array<double>, _letters boolean"
+    schema = f"doc_id {dict(slim.dtypes)['doc_id']}, declared string, host string, text_hash long, _ll array<double>, _unknown double, _letters boolean"
     scored = checkpoint(
-        slim.mapInArrow(_score(ll), schema).withColumn("text_language", F.when(F.col("_letters"), _pick(F.col("_ll"), langs)).otherwise(F.lit("und")))
+        slim.mapInArrow(_score(ll), schema).withColumn("text_language", F.when(F.col("_letters") & (F.array_max("_ll") >= F.col("_unknown")), _pick(F.col("_ll"), langs)).otherwise(F.lit("und")))
         .withColumn("domain", F.regexp_extract("host", r"([^.]*\.[^.]*|[^.]*)$", 1))
     )
-    votes = scored.where("_letters")
+    votes = scored.where("text_language <> 'und'")
     tally = [F.sum((F.col("text_language") == x).cast("long")).cast("double") for x in langs]
     counts = lambda name: votes.groupBy(name).agg(F.array(*tally).alias(f"n_{name}"))
     corpus = votes.agg(F.array(*tally).alias("n")).first()["n"] or [0.0] * len(langs)
@@ -150,11 +167,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ad
     one = F.array(*[F.lit(1.0)] * len(langs))
     joined = scored.join(hosts, "host", "left").join(said, "declared", "left").withColumn("_suffix", by_suffix)
     logs = F.transform(F.arrays_zip(F.col("_ll").alias("a"), F.coalesce("_host", prior).alias("b"), F.coalesce("_declared", one).alias("c"), F.col("_suffix").alias("d")), lambda x: x["a"] + F.log(x["b"]) + F.log(x["c"]) + F.log(x["d"]))
-    fused = joined.withColumn("_log", logs).withColumn("_top", F.array_max("_log"))
-    sure = 1.0 / F.aggregate("_log", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top")))
+    fused = joined.withColumn("_log", logs).withColumn("_none", F.col("_unknown") + float(np.log(UNKNOWN_PRIOR)))
+    fused = fused.withColumn("_best", F.array_max("_log")).withColumn("_top", F.greatest("_best", "_none"))
+    sure = F.exp(F.col("_best") - F.col("_top")) / F.aggregate("_log", F.exp(F.col("_none") - F.col("_top")), lambda s, x: s + F.exp(x - F.col("_top")))
     return fused.select(
         "doc_id",
-        F.when(F.col("_letters"), _pick(F.col("_log"), langs)).otherwise(F.lit("und")).alias("language"),
+        F.when(F.col("_letters") & (F.col("_best") >= F.col("_none")), _pick(F.col("_log"), langs)).otherwise(F.lit("und")).alias("language"),
         F.when(F.col("_letters"), sure).otherwise(F.lit(0.0)).alias("posterior"),
         "text_language",
         F.col("declared").alias("declared_language"),
