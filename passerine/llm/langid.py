@@ -31,8 +31,8 @@ from .common import checkpoint
 
 #: Hashed trigrams that the model tells apart.
 BINS = 1 << 14
-#: Labelled rows of each language that the trigram model is fitted on, about, and languages at most.
-FIT_ROWS, LANGUAGES = 2000, 64
+#: Labelled rows of each language that the trigram model is fitted on, about.  Every label has a model.
+FIT_ROWS = 2000
 #: A text counts as this many independent trigrams at most.
 TEMPER = 40.0
 #: Pseudo-counts by which a host leans on its domain, and a domain on the corpus.
@@ -70,16 +70,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log likelihoods (BINS x languages), from about ``rows`` hash-chosen rows of each."""
     known = labelled.where(F.col(label_col).isNotNull() & (F.col(label_col) != ""))
-    counts = known.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(LANGUAGES).collect()
+    counts = known.groupBy(label_col).count().collect()
     if not counts:
         return [], np.zeros((BINS, 0))
     share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, rows / n))])
     chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 20)) < share[F.col(label_col)] * (1 << 20)
-    cells = known.where(chosen).select(label_col, text_col).mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({x["lang"] for x in cells})
+    cells = known.where(chosen).select(label_col, text_col).mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    names = cells["lang"].combine_chunks().dictionary_encode()
+    order = {lang: k for k, lang in enumerate(sorted(names.dictionary.to_pylist()))}
+    langs, place = list(order), np.array([order[x] for x in names.dictionary.to_pylist()], np.int64)
     model = np.full((BINS, len(langs)), 0.5)
-    for lang, at, n in cells:
-        model[at, langs.index(lang)] += n
+    model[cells["bin"].to_numpy(), place[names.indices.to_numpy()]] += cells["n"].to_numpy()
     return langs, np.log(model / model.sum(axis=0))
 
 

@@ -1,4 +1,6 @@
-"""Texts that no labelled language explains."""
+"""Texts that no labelled language explains, and tables of many labels."""
+
+import random
 
 from passerine.llm import langid
 
@@ -24,3 +26,13 @@ def test_unknown_languages_are_rejected(spark):
     assert all(out[k]["accepted"] and out[k]["language"] == c[1] for k, c in enumerate(clean))
     kept = {r["doc_id"] for r in langid.accepted(mixed, model=model).collect()}
     assert kept == set(range(len(clean)))
+
+
+def test_every_label_has_a_model(spark):
+    rng, rows = random.Random(8), []
+    for k in range(70):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 7))) for _ in range(30)]
+        for _ in range(4 if k < 64 else 3):  # the last six are the rarest
+            rows.append((len(rows), " ".join(rng.choices(words, k=80)), f"l{k:02}", "s"))
+    out = langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == len(rows) and all(r["language"] == r["declared_language"] and r["accepted"] for r in out)
