@@ -1,7 +1,8 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-E-mail addresses, phone numbers, IPv4 addresses, card numbers and titled names
-are found by one pattern.  Each distinct entity gets a keyed replacement of its
+E-mail addresses, national and international phone numbers, IPv4 addresses, card
+numbers and titled names are found by one pattern; a number of another length
+than a usual card's is one only if its check digit is right.  Each distinct entity gets a keyed replacement of its
 own type: every character is replaced by one of its kind (digit, vowel or
 consonant, in its case and script), separators stay, given names change to
 another name of the same gender, addresses move to a reserved example domain,
@@ -19,14 +20,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, text_or_empty
 
+_TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Lady|Herr|Frau|Doktor|Monsieur|Madame|Mme|Mlle|Señor|Señora|Señorita|Sr|Sra|Srta|Signor|Signora|Dott"
+_NAME = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
+_PHONES = (
+    r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -][0-9]{4}",
+    r"(?<![\p{L}0-9])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    r"(?<![\p{L}0-9])\+[1-9](?=(?:[ ./()-]{0,2}[0-9]){6,14}(?![0-9]))[0-9]*+(?:[ ./-]?(?:\([0-9]{1,5}\)|[0-9]++)){0,6}+",
+    r"(?<![0-9.-])(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![\p{L}0-9.-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])",
+    r"(?<![\p{L}0-9.-])(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{0,3}[ /-])(?=(?:[ -]?[0-9]){6,9}(?![0-9]))[0-9]{3,8}+(?:[ -][0-9]{2,5}+)*+",
+)
 #: Java patterns, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -][0-9]{4}",
+    "phone": "(?:" + "|".join(_PHONES) + ")",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}[\p{Ll}]+(?: \p{Lu}[\p{Ll}]+)?",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?|[1-9][0-9]{12,18}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3})(?![0-9])",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: \p{{Lu}}\.)?(?: (?:von|van|der|den|de|del|della|di|da|la|le|ter|zu)\b){{0,3}}(?: {_NAME})?",
 }
+#: Card numbers of this shape count as they are; those of other lengths need the right check digit.
+FOUR_BY_FOUR = r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?$"
 ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: Given names by gender; each changes to the next of its list in a keyed order.
 GIVEN = {
@@ -62,7 +75,9 @@ def kind_of(value: Column) -> Column:
     out = F.when(F.instr(value, "@") > 0, "email")
     for kind in ("phone", "ip", "card"):
         out = out.when(value.rlike(f"^{PATTERNS[kind]}$"), kind)
-    return out.otherwise("name")
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    right = value.rlike(FOUR_BY_FOUR) | F.call_function("luhn_check", digits)
+    return F.when((out == "card") & ~right, "none").otherwise(out.otherwise("name"))
 
 
 def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
@@ -86,19 +101,20 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Of entities that share a replacement the first keeps it; the others, and
     those whose replacement is itself an entity, are tried again.  It fails
-    after ``TRIES`` attempts rather than return a collision.
+    after ``TRIES`` attempts rather than return a collision.  What only looks like
+    a card number is of kind 'none' and stays.
     """
-    todo = checkpoint(entities.select("value").distinct().withColumn("kind", kind_of(F.col("value"))))
-    done = None
-    real = todo.select(F.col("value").alias("surrogate"))
+    kinds = checkpoint(entities.select("value").distinct().withColumn("kind", kind_of(F.col("value"))))
+    done = checkpoint(kinds.where("kind = 'none'").withColumn("surrogate", F.col("value")))
+    todo = kinds.where("kind <> 'none'")
+    real = kinds.select(F.col("value").alias("surrogate"))
     for attempt in range(TRIES):
         tried = todo.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), F.lit(attempt), key))
         first = tried.groupBy("surrogate").agg(F.min("value").alias("value"))
         good = first.join(real, "surrogate", "left_anti")
-        if done is not None:
-            good = good.join(done.select("surrogate"), "surrogate", "left_anti")
+        good = good.join(done.select("surrogate"), "surrogate", "left_anti")
         got = checkpoint(todo.join(good, "value"))
-        done = got if done is None else checkpoint(done.unionByName(got))
+        done = checkpoint(done.unionByName(got.select(done.columns)))
         todo = checkpoint(todo.join(got.select("value"), "value", "left_anti"))
         if todo.isEmpty():
             return done
@@ -125,6 +141,6 @@ def with_surrogates(docs: DataFrame, key: str = "passerine", id_col: str = "doc_
     return joined.select(
         "doc_id",
         F.when(has, new).otherwise(F.col("text")).alias("text"),
-        F.when(has, F.size("e")).otherwise(0).cast("long").alias("n_entities"),
+        F.when(has, F.size(F.filter("e", lambda x: x["kind"] != "none"))).otherwise(0).cast("long").alias("n_entities"),
         *[F.when(has, count(k)).otherwise(F.lit(0).cast("long")).alias(f"n_{k}") for k in PATTERNS],
     )
