@@ -47,6 +47,14 @@ GIVEN = {
     "m": ("David", "Hans", "James", "Jean", "John", "Luis", "Mark", "Paul", "Peter", "Pierre", "Robert", "Thomas"),
 }
 KINDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "äöüáàâéèêëíîïóôúù", "çñß", "ÄÖÜÁÀÂÉÈÊËÍÎÏÓÔÚÙ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
+#: For letters outside ``KINDS``: a class of letters, and what replaces them; the last takes every other letter.
+CLASSES = (
+    (r"[\p{IsLatin}&&\p{Lu}]", "ĀĂĄĆČĎĐĒĘĚĞĢĪĮŁŃŇŌŐŘŚŞŠŤŪŮŰŹŻŽ"), (r"\p{IsLatin}", "āăąćčďđēęěğģīįłńňōőřśşšťūůűźżž"),
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"), (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшщэюя"),
+    (r"\p{IsHan}", "王李张刘陈杨黄赵吴周徐孙马朱胡林郭何高罗"), (r"\p{IsArabic}", "ابتجحخدرزسشصعغفقكلمنهوي"), (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\p{Lu}", "BCDFGHJKLMNPQRSTVWXYZ"), (r"\p{L}", "bcdfghjklmnpqrstvwxyz"),
+)
 TRIES = 12
 
 
@@ -60,15 +68,18 @@ def _given(key: str) -> dict[str, str]:
 
 
 def _masked(value: Column, digest: Column) -> Column:
-    """Every character of ``value`` replaced by one of its kind, by the bytes of a hex digest."""
+    """Every letter and digit of ``value`` replaced by another of its kind, by the bytes of a hex digest."""
     def change(c: Column, i: Column) -> Column:
         byte = F.conv(F.substring(digest, F.pmod(i, F.lit(60)) * 2 + 1, F.lit(4)), 16, 10).cast("int")
+        other = lambda kind: F.substring(F.replace(F.lit(kind), c, F.lit("")), F.pmod(byte, F.lit(len(kind) - 1)) + 1, F.lit(1))
         out = F.when(F.lit(False), c)
         for kind in KINDS:
-            out = out.when(F.instr(F.lit(kind), c) > 0, F.substring(F.lit(kind), F.pmod(byte, F.lit(len(kind))) + 1, F.lit(1)))
+            out = out.when(F.instr(F.lit(kind), c) > 0, other(kind))
+        for letters, kind in CLASSES:
+            out = out.when(c.rlike(letters), other(kind))
         return out.otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, ""), change), "")
+    return F.when(value == "", "").otherwise(F.array_join(F.transform(F.split(value, ""), change), ""))
 
 
 def kind_of(value: Column) -> Column:

@@ -32,3 +32,13 @@ def test_other_formats_are_found_whole(out, kind, values):
 def test_other_numbers_stay(out):
     for v in PLAIN:
         assert (out[v]["text"], out[v]["n_entities"]) == (f"x {v}, y", 0)
+
+
+def test_no_letter_stays_and_empty_parts_stay_empty(spark):
+    values = ["Mr John", "Mr Šimák", "Frau Đỗ", "Herr Łukasz Ødegård", "Mr Ωμέγα", "Mr Иван Щукин", "Mr Ћирић"]
+    made = {r["value"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame([(v,) for v in values], "value string"), "k").collect()}
+    assert made["Mr John"].split(" ")[1] in pii.GIVEN["m"]
+    for v in values[1:]:
+        assert len(made[v]) == len(v) and made[v].split(" ")[0] == v.split(" ")[0]
+        for a, b in zip(v.split(" ", 1)[1], made[v].split(" ", 1)[1]):
+            assert (a == b) == (a == " ") and a.isupper() == b.isupper(), (v, made[v])
