@@ -1,181 +1,76 @@
-"""Removal of repeated 200-byte strings, by content-chosen anchors.
-
-Merging Burrows-Wheeler transforms needs a pass over every byte position of the
-corpus for each byte of context, about 200 shuffles of all positions, which no
-disk budget here holds; this is another exact method.  Of the 169 grams of 32
-bytes in a 200-byte string the least by hash is its anchor, so equal strings
-have equal anchors at equal places.  Anchors that occur once are dropped.  The
-others are grouped with up to 168 bytes on either side, equal contexts as one,
-and two contexts that agree on 200 bytes or more around the anchor repeat them.
+"""Removal of repeated 200-byte strings by merged transforms of their anchored suffixes.
+
+Shards of a Burrows-Wheeler transform are merged by refining their interleave
+symbol by symbol, which yields common prefixes and repeated intervals without
+sorting suffixes again.  Refining the suffixes of *all* byte positions would take
+a shuffle of every position for each round, so the transform is sparse: of the
+169 grams of 32 bytes in a 200-byte string the least by hash is its anchor, and
+only suffixes that start at anchors, of which equal strings have equal ones, are
+interleaved, with the bytes before them; see ``repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, text_classes
-
-SPAN, GRAM = 200, 32
-SIDE = SPAN - GRAM
-#: An anchor with more contexts is compared in pairs of blocks of about this size.
-BLOCK = 512
-
-
-def _doubled(x: np.ndarray, n: int, join) -> np.ndarray:
-    """``join`` over every n consecutive values (idempotent joins only)."""
-    size = 1
-    while size * 2 <= n:
-        x = join(x[:-size], x[size:])
-        size *= 2
-    return x if size == n else join(x[: len(x) - (n - size)], x[n - size :])
-
-
-def anchor_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of every gram that is the least of some 200-byte string."""
-    if len(data) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, size, base = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while size < GRAM:
-        h = h[:-size] * np.uint64(base) + h[size:]
-        base, size = base * base % (1 << 64), size * 2
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    least = _doubled(h, SIDE + 1, np.minimum)
-    edge = np.zeros(SIDE, np.uint64)
-    at = np.flatnonzero(_doubled(np.concatenate([edge, least, edge]), SIDE + 1, np.maximum) == h)
-    return h[at].view(np.int64), at
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for tid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found, n = np.unique(anchor_places(text.as_py().encode())[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), tid)), pa.array(n.astype(np.int64))], names=["anchor", "tid", "n"])
-
+from . import repeats
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for tid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            data = text.as_py().encode()
-            h, at = anchor_places(data)
-            take = np.isin(h, wanted.values.to_numpy(zero_copy_only=False))
-            h, at = h[take], at[take]
-            for a in range(0, len(at), 4096):
-                part = at[a : a + 4096]
-                left = [data[max(0, i - SIDE) : i] for i in part.tolist()]
-                right = [data[i : i + SPAN] for i in part.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[a : a + 4096]), pa.array(np.full(len(part), tid)), pa.array(part), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                    names=["anchor", "tid", "at", "before", "after"],
-                )
-
-
-def reach(before: list[bytes], after: list[bytes], n: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """How far to the left and right of an anchor each context is repeated; -1 where nowhere."""
-    m = len(n)
-    left, right = np.zeros((m, SIDE), np.int16), np.zeros((m, SPAN), np.int16)
-    # beyond a text's ends nothing agrees: each context has a value of its own there
-    for i, (b, a) in enumerate(zip(before, after, strict=True)):
-        left[i, : len(b)] = np.frombuffer(b, np.uint8)[::-1]
-        right[i, : len(a)] = np.frombuffer(a, np.uint8)
-        left[i, len(b) :] = right[i, len(a) :] = -1 - i
-    far = lambda same: np.where(same.all(axis=1), same.shape[1], (~same).argmax(axis=1))
-    l_out, r_out = np.full(m, -1), np.full(m, -1)
-    for i in range(m):
-        ls, rs = far(left == left[i]), far(right == right[i])
-        ls[i] = len(before[i]) if n[i] > 1 else 0
-        rs[i] = len(after[i]) if n[i] > 1 else 0
-        ok = ls + rs >= SPAN
-        if ok.any():
-            l_out[i], r_out[i] = ls[ok].max(), rs[ok].max()
-    return l_out, r_out
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "i", "j")], axis=1)
-        cut = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1).tolist(), t.num_rows]
-        for a, b in pairwise(cut):
-            part = t.slice(a, b - a)
-            n = part.column("n").to_pylist()
-            if b - a > 1 or n[0] > 1:
-                left, right = reach(part.column("before").to_pylist(), part.column("after").to_pylist(), n)
-                yield pa.RecordBatch.from_arrays([part.column("anchor").combine_chunks(), part.column("ctx").combine_chunks(), pa.array(left), pa.array(right)], names=["anchor", "ctx", "l", "r"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("anchor", "i", "j")], axis=1)
-        changes = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1))
-        if held and tuple(keys[0]) != tuple(held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("anchor", "i", "j")):
-            yield from flush()
-            held.clear()
-        cut = int(changes[-1]) + 1 if len(changes) else 0
-        if cut:
-            held.append(batch.slice(0, cut))
-            yield from flush()
-            held.clear()
-        held.append(batch.slice(cut))
-    if held:
-        yield from flush()
+KIND = repeats.Kind(size=200, gram=32, words=False)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text, spans, copied in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("copied").to_pylist(), strict=True):
-            data = text.as_py().encode()
-            if copied and len(data) >= SPAN:
-                spans = [{"a": 0, "b": len(data)}]
-            kept, last, removed, n = [], 0, 0, 0
-            end = -1
-            for x in sorted(spans or [], key=lambda x: x["a"]):
-                if x["a"] > end:
-                    n += 1
-                    kept.append(data[last : x["a"]])
-                    removed += x["b"] - x["a"]
-                    last = end = x["b"]
-                elif x["b"] > end:
-                    removed += x["b"] - end
-                    last = end = x["b"]
-            kept.append(data[last:])
-            rows.append((len(data), removed, n, hashlib.sha256(b"".join(kept)).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for a, b in repeats.pieces(batch.column(1)):
+            gone, at, data, *_ = repeats.covers(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), KIND)
+            kept = data[~gone]
+            left = np.concatenate([[0], np.cumsum(~gone)])[at]
+            edge = gone.copy()
+            edge[1:] &= ~gone[:-1]
+            heads = at[:-1][np.diff(at) > 0]
+            edge[heads] = gone[heads]
+            starts = np.flatnonzero(edge)
+            stops = gone.copy()
+            stops[:-1] &= ~gone[1:]
+            stops[at[1:][np.diff(at) > 0] - 1] = gone[at[1:][np.diff(at) > 0] - 1]
+            ends = np.flatnonzero(stops) + 1
+            runs = np.searchsorted(starts, at)
+            spans = np.stack([starts, ends], axis=1) - np.repeat(at[:-1], np.diff(runs))[:, None]
+            sizes = np.diff(at)
+            texts = [kept[x:y].tobytes() for x, y in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
+            pairs = pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["start", "end"])
+            cols = [batch.column(0).slice(a, b - a), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pairs), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "kept", "spans", "n_bytes"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _cut(batches):
+        sums = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(1)]
+        n_bytes = batch.column(3).to_numpy()
+        kept = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32)[: batch.num_rows + 1])
+        cols = [batch.column(0), batch.column(3), pa.array(n_bytes - kept), batch.column(2).value_lengths().cast(pa.int64()), pa.array(sums, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = repeats.sources(docs, id_col, text_col)
+    return rows.join(repeats.cuts(rows, KIND, earlier=False), ["doc", "h"], "left").select("doc_id", "text", "cuts")
 
 
 def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per document: doc_id, kept (the bytes that stay), spans (start, end of what goes), n_bytes.
 
     A null text is empty; a null id stays null; repeated rows repeat each other's
-    strings, so all of them go.  Other columns are not looked at; an empty table
-    gives an empty result.
+    strings, so all of them go.  Bytes may be cut inside a code point.  Other
+    columns are not looked at; an empty table gives an empty result.
     """
-    rows, classes = text_classes(docs, id_col, text_col)
-    anchors = checkpoint(rows.select("tid", "text").mapInArrow(_anchors, "anchor long, tid long, n long"))
-    shared = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    reps = classes.where("rep = tid").select("tid")
-    wanted = anchors.select("anchor", "tid").join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("wanted")).join(reps, "tid")
-    found = rows.select("tid", "text").join(wanted, "tid").select("tid", "text", "wanted").mapInArrow(_contexts, "anchor long, tid long, at long, before binary, after binary")
-    found = checkpoint(found.withColumn("ctx", F.xxhash64("before", "after")))
-    contexts = found.groupBy("anchor", "ctx").agg(F.any_value("before").alias("before"), F.any_value("after").alias("after"), F.count(F.lit(1)).alias("n"))
-    contexts = checkpoint(contexts)
-    many = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("anchor", "blocks")
-    held = contexts.join(many, "anchor").withColumn("b", F.pmod("ctx", F.col("blocks")).cast("int"))
-    paired = held.select("anchor", "ctx", "before", "after", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))).alias("p"))
-    dealt = paired.select("anchor", "ctx", "before", "after", "n", "p.i", "p.j").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    spread = dealt.mapInArrow(_compare, "anchor long, ctx long, l long, r long").where("l >= 0").groupBy("anchor", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    spans = found.select("anchor", "ctx", "tid", "at").join(spread, ["anchor", "ctx"]).groupBy("tid").agg(F.collect_list(F.struct((F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("r")).alias("b"))).alias("spans"))
-    cuts = classes.join(spans.withColumnRenamed("tid", "rep"), "rep", "left").select("tid", "spans", (F.col("copies") > 1).alias("copied"))
-    joined = rows.select("tid", "doc_id", "text").join(cuts, "tid")
-    return joined.select("doc_id", "text", "spans", "copied").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_cuts(docs, id_col, text_col).mapInArrow(_cut, "doc_id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long")
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``without_repeated_bytes`` as doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return _with_cuts(docs, id_col, text_col).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

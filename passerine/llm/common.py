@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,13 +26,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a compressed table in the shared folder that the session names.
 
     Rows are columnar and compressed there, a third or less of what a checkpoint
-    of the same rows takes.  The folder is the caller's to clear.
+    of the same rows takes.  The shuffles behind it go when it is written.
+    ``release`` removes a table that is read no more; the last ones, which a
+    result still reads, are left in the folder, which is the caller's to clear.
+    Without a named folder the tables lie beside the session's own, in the warehouse.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="passerine-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder}/passerine-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: dict[int, tuple] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``checkpoint`` wrote and that nothing will read again."""
+    for table in tables:
+        _, path = _paths.pop(id(table))
+        jvm = table.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -41,18 +63,3 @@ def text_or_empty(name: str = "text") -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """A table of rows (tid, doc_id, doc, sha, text) and, for each tid, its class: rep, first, copies.
-
-    Equal texts are one class, found from digests alone; rep is a row of the
-    smallest id, ``first``.  A null id is ``LAST_ID`` in doc.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select(F.monotonically_increasing_id().alias("tid"), "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.sha2("text", 256).alias("sha"), "text")
-    rows = checkpoint(rows)
-    slim = rows.select("tid", "doc", "sha")
-    best = slim.groupBy("sha").agg(F.min(F.struct("doc", "tid")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    of = slim.join(best, "sha").select("tid", F.col("m.tid").alias("rep"), "doc", F.col("m.doc").alias("first"), "copies")
-    return rows, checkpoint(of)

@@ -17,7 +17,7 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_dedup(spark, sf_dir: str) -> DataFrame:
-    return byte_dedup.without_repeated_bytes(table(spark, sf_dir, "documents"))
+    return byte_dedup.digests(table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op7_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Substring deduplication over the word graph whose edges are 13-word windows.
 
-An edge that documents with a smaller id have is repeated.  Edges are looked up
-in two steps.  Every window holds the least of its ten 4-word hashes, its
-anchor; equal windows have equal anchors, so only windows whose anchor occurs in
-two texts can be repeated, and only their 128-bit edge hashes are shuffled.
-Repeated edges are joined back to their source coordinates, where consecutive
-ones compact into one long span of the document.  Equal texts are one class.
+Edges that follow each other around one anchor are compacted into one path, a
+block, before anything is shuffled.  Joins on the blocks' digests find the
+repeated paths and the first document of each; paths that meet others around
+their anchor, where the graph branches, are compared word by word; see
+``repeats``.  The joins back to the source coordinates glue neighbouring paths
+into the long spans of each document, from which the repeated words go.
 """
 
 from __future__ import annotations
@@ -15,90 +15,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .common import checkpoint, text_classes
+from . import repeats
 
-K, ANCHOR = 13, 4
+KIND = repeats.Kind(size=13, gram=4, words=True)
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode().split()
-
-
-def _poly(h: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Polynomial hash of every n consecutive values."""
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(base) + h[i : len(h) - n + 1 + i]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
-
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in repeats.pieces(batch.column(1)):
+            gone, at, data, starts, ends = repeats.covers(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), KIND)
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            texts = []
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                words = data[starts[x] : ends[y - 1]].tobytes().split() if y > x else []
+                if removed[y] > removed[x]:
+                    words = [w for w, g in zip(words, gone[x:y].tolist(), strict=True) if not g]
+                texts.append(b" ".join(words))
+            n_removed = removed[at[1:]] - removed[at[:-1]]
+            cols = [batch.column(0).slice(a, b - a), pa.array(texts, pa.binary()), pa.array(np.diff(at)), pa.array(n_removed)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "kept", "n_words", "n_removed"])
 
-def _windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor and the two halves of the edge hash of every window."""
-    import xxhash
 
-    a = np.array([xxhash.xxh64_intdigest(w, 1) for w in words], np.uint64)
-    b = np.array([xxhash.xxh64_intdigest(w, 2) for w in words], np.uint64)
-    anchors = sliding_window_view(_poly(a, ANCHOR, 0x9E3779B97F4A7C15), K - ANCHOR + 1).min(axis=1)
-    return anchors.view(np.int64), _poly(a, K, 0xD6E8FEB86659FD93).view(np.int64), _poly(b, K, 0xA0761D6478BD642F).view(np.int64)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _cut(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *batch.columns[2:]], names=batch.schema.names)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = _words(text.as_py())
-            if len(words) >= K:
-                found = np.unique(_windows(words)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc))], names=["anchor", "tid"])
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _cut(batches):
+        sums = pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(1)], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], sums], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for tid, text, wanted, doc in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            anchors, h1, h2 = _windows(_words(text.as_py()))
-            at = np.flatnonzero(np.isin(anchors, wanted.values.to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(np.full(len(at), tid)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], names=["h1", "h2", "tid", "doc", "at"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, starts, whole in zip(batch.column("text"), batch.column("starts"), batch.column("whole"), strict=True):
-            words = _words(text.as_py())
-            gone = np.zeros(len(words) + 1, np.int32)
-            if whole.as_py():
-                gone[:] = len(words) >= K
-            elif starts.is_valid:
-                at = starts.values.to_numpy(zero_copy_only=False)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + K, -1)
-                gone = np.cumsum(gone)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-            rows.append((len(words), int(np.count_nonzero(gone[: len(words)])), hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = repeats.sources(docs, id_col, text_col)
+    return rows.join(repeats.cuts(rows, KIND, earlier=True), ["doc", "h"], "left").select("doc_id", "text", "cuts")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256.
+    """One row per document: doc_id, kept (the words that stay, one space between), n_words, n_removed.
 
     A null text has no words; null ids come after all others; rows of one id are
     one document to each other, so neither loses words to the other.  Other
     columns are not looked at; an empty table gives an empty result.
     """
-    rows, classes = text_classes(docs, id_col, text_col)
-    anchors = checkpoint(rows.select("tid", "text").mapInArrow(_anchors, "anchor long, tid long"))
-    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    reps = classes.where("rep = tid").select("tid", "first")
-    wanted = anchors.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("wanted")).join(reps, "tid")
-    edges = rows.select("tid", "text").join(wanted, "tid").select("tid", "text", "wanted", "first").mapInArrow(_edges, "h1 long, h2 long, tid long, doc long, at int")
-    edges = checkpoint(edges)
-    least = edges.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    hit = edges.join(least, ["h1", "h2"]).where("doc > least").groupBy("tid").agg(F.collect_list("at").alias("starts")).withColumnRenamed("tid", "rep")
-    cuts = classes.join(hit, "rep", "left").select("tid", "starts", (F.col("doc") > F.col("first")).alias("whole"))
-    joined = rows.select("tid", "doc_id", "text").join(cuts, "tid")
-    return joined.select("doc_id", "text", "starts", "whole").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_cuts(docs, id_col, text_col).mapInArrow(_texts, "doc_id long, kept string, n_words long, n_removed long")
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``without_repeats`` as doc_id, n_words, n_removed, kept_sha256."""
+    return _with_cuts(docs, id_col, text_col).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from passerine.llm import byte_dedup, components, decontaminate, exact_dedup, langid, licenses, mixing, pii, secret_scan, simhash, substring_dedup
+from passerine.llm import byte_dedup, components, decontaminate, exact_dedup, langid, licenses, mixing, pii, repeats, secret_scan, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 SHA = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
@@ -58,8 +58,10 @@ def test_exact_weak_digest(docs, spark):
     assert weak == got(exact_dedup.exact_duplicates(docs))
 
 
-def test_bytes(docs, rows):
-    out, seen = got(byte_dedup.without_repeated_bytes(docs)), Counter()
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_bytes(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    out, seen = got(byte_dedup.digests(docs)), Counter()
     data = {i: (t or "").encode() for i, t, *_ in rows}
     for d in data.values():
         seen.update(d[k : k + 200] for k in range(len(d) - 199))
@@ -73,8 +75,10 @@ def test_bytes(docs, rows):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(d), sum(gone), spans, SHA(bytes(b for b, g in zip(d, gone) if not g))), i
 
 
-def test_substrings(docs, rows):
-    out, first = got(substring_dedup.without_repeats(docs)), {}
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_substrings(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    out, first = got(substring_dedup.digests(docs)), {}
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
     for i, w in words.items():
         for k in range(len(w) - 12):
@@ -230,5 +234,5 @@ def test_language_held_out(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")
-    outs = [exact_dedup.exact_duplicates(none), byte_dedup.without_repeated_bytes(none), substring_dedup.without_repeats(none), simhash.near_components(none), decontaminate.contamination(none, items), licenses.scan_licenses(none), secret_scan.secrets(none), mixing.mix(none), pii.with_surrogates(none), langid.identify(none)]
+    outs = [exact_dedup.exact_duplicates(none), byte_dedup.digests(none), substring_dedup.digests(none), simhash.near_components(none), decontaminate.contamination(none, items), licenses.scan_licenses(none), secret_scan.secrets(none), mixing.mix(none), pii.with_surrogates(none), langid.identify(none)]
     assert all(o.count() == 0 for o in outs)
