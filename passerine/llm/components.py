@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -41,10 +41,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         # all edges lead from a node to a smaller one; at the end each node has one and no target has any
-        seen = Observation()
+        seen, old = Observation(), now
         edge_sum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         now = checkpoint(_small_star(_large_star(_both(now))).observe(seen, F.count(F.lit(1)).alias("n"), edge_sum.alias("s")))
         new = seen.get
+        release(old)
         if new == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
