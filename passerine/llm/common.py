@@ -63,3 +63,16 @@ def text_or_empty(name: str = "text") -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as it takes to be no column of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def with_row_number(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table of the rows with a number of their own, written once so that it stays, and that column's name."""
+    name = free_name(df, "row_number")
+    return checkpoint(df.withColumn(name, F.monotonically_increasing_id())), name

@@ -2,8 +2,8 @@
 
 Items and documents are cut into lower-cased words.  Every window of 13
 consecutive item words (or the whole of a shorter item) is a pattern over word
-numbers; each document is scanned once, and hits are kept as word positions,
-which ``hit_spans`` maps back to code-point offsets of the original text.
+numbers; each document is scanned once, and hits are kept as word positions
+and as code-point offsets of the original text.
 
 The patterns are sent to the tasks in slices of at most ``SLICE_BYTES`` of item
 text.  A benchmark larger than one slice is scanned by a chain of automata in
@@ -18,9 +18,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import word_tokens
+from .common import free_name, word_tokens
 
 WINDOW = 13
 SLICE_BYTES = 8 << 20
@@ -56,24 +56,29 @@ def _covered(matches: list[tuple[int, int]]) -> list[int]:
     return sorted(words)
 
 
-def _scan(key: str, items: list[tuple[str, bytes]]):
+def _scan(key: str, items: list[tuple[str, bytes]], text_name: str, names: dict[str, str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, automaton = _automaton(key, items)
         get = numbers.get
         for batch in batches:
-            old_hits, old_items = batch.column("_hits"), batch.column("_items")
-            sizes, hits, named = [], [], []
-            for i, text in enumerate(batch.column("_text")):
-                words = word_tokens(text.as_py().encode())
+            old_hits, old_items = batch.column(names["hits"]), batch.column(names["items"])
+            sizes, hits, named, spans = [], [], [], []
+            for i, text in enumerate(batch.column(text_name)):
+                text = text.as_py()
+                words = word_tokens(text.encode())
                 matches, of = [], set()
                 if automaton is not None and words:
-                    for end, (n, names) in automaton.iter(tuple([get(w, 0) for w in words])):
+                    for end, (n, names_) in automaton.iter(tuple([get(w, 0) for w in words])):
                         matches.append((end - n + 1, end + 1))
-                        of.update(names)
+                        of.update(names_)
                 sizes.append(len(words))
                 hits.append(sorted({*_covered(matches), *(old_hits[i].as_py() or ())}))
                 named.append(sorted({*of, *(old_items[i].as_py() or ())}))
-            done = {"_words": pa.array(sizes, pa.int64()), "_hits": pa.array(hits, pa.list_(pa.int32())), "_items": pa.array(named, pa.list_(pa.string()))}
+                spans.append([{"start": a, "end": b} for a, b in hit_spans(text, hits[-1])] if hits[-1] else [])
+            done = {
+                names["words"]: pa.array(sizes, pa.int64()), names["hits"]: pa.array(hits, pa.list_(pa.int32())), names["items"]: pa.array(named, pa.list_(pa.string())),
+                names["spans"]: pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            }
             yield pa.RecordBatch.from_arrays([done.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
     return scan
@@ -92,24 +97,22 @@ def _slices(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
     yield now
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with _words (how many), _hits (positions of hit words) and _items (names of items that occur).
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with four more columns, and what they are called: no column of ``docs`` is replaced.
 
-    A null text has no words; an item without words, or with a null id, hits
-    nothing.  Items that share an id count once.  Any other columns pass through;
-    those named _words, _hits, _items or _text are replaced.
+    words: how many; hits: positions of hit words; items: names of items that
+    occur; spans: code-point offsets of the hit words in the original text, runs
+    joined.  A null text has no words; an item without words, or with a null id,
+    hits nothing.  Items that share an id count once.
     """
-    empty = docs.drop("_words", "_hits", "_items", "_text").withColumns({
-        "_text": F.coalesce(F.col(text_col), F.lit("")),
-        "_words": F.lit(0).cast("long"),
-        "_hits": F.array().cast("array<int>"),
-        "_items": F.array().cast("array<string>"),
-    })
-    out = empty
+    kinds = {"words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:long,end:long>>")}
+    names = {k: free_name(docs, f"_{k}") for k in kinds}
+    text = free_name(docs, "_text")
+    out = docs.withColumns({text: F.coalesce(F.col(text_col), F.lit("")), **{names[k]: c for k, c in kinds.items()}})
     for items in _slices(benchmark.where(F.col(item_col).isNotNull()).select(item_col, item_text)):
         key = hashlib.sha256(repr(items).encode()).hexdigest()
-        out = out.mapInArrow(_scan(key, items), out.schema)
-    return out.drop("_text")
+        out = out.mapInArrow(_scan(key, items, text, names), out.schema)
+    return out.drop(text), names
 
 
 def hit_spans(text: str, hits: list[int]) -> list[tuple[int, int]]:
@@ -125,26 +128,26 @@ def hit_spans(text: str, hits: list[int]) -> list[tuple[int, int]]:
     return spans
 
 
+def _contaminated(hits: Column, words: Column) -> Column:
+    return (F.size(hits) > 0) & (F.size(hits) * 20 >= words)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     Contaminated: at least one word is hit, and hit words are 5 % of all or more.
     Repeated rows are judged alike; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n_hit = F.size("_hits").cast("long")
-    return with_hits(rows, benchmark).select(
-        "doc_id",
-        F.col("_words").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("_words"))).alias("contaminated"),
+    found, names = with_hits(rows, benchmark)
+    words, hits, items, spans = (F.col(names[k]) for k in ("words", "hits", "items", "spans"))
+    return found.select(
+        "doc_id", words.alias("n_words"), F.size(hits).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), _contaminated(hits, words).alias("contaminated"), spans.alias("spans"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
-    n_hit = F.size("_hits")
-    found = with_hits(docs, benchmark, text_col)
-    return found.where(~((n_hit > 0) & (n_hit * 20 >= F.col("_words")))).select(*docs.columns)
+    """The documents that are not contaminated, with their columns; null and empty texts stay, repeated rows too."""
+    found, names = with_hits(docs, benchmark, text_col)
+    return found.where(~_contaminated(F.col(names["hits"]), F.col(names["words"]))).select(*docs.columns)
