@@ -12,7 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .vectors import squared_distance
+from ..functions.scalar import half_up, top_labels
+from .vectors import _pairs, block_pairs, nearest, squared_distance
+
+#: Up to so many dimensions all their products are added up; beyond, components come from subspace iteration.
+DENSE, ROUNDS, MORE = 512, 30, 8
 
 
 def moments(df: DataFrame, vec_col: str, dims: int) -> tuple[list[float], list[float]]:
@@ -42,6 +46,39 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "x"])
 
 
+def _subspace(rows: DataFrame, vec_col: str, dims: int, components: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Largest squared singular values of the rows, their directions, and the sum of all, by subspace iteration.
+
+    A round is one pass that sends back dims x width sums; the products of all
+    dimensions with each other are never formed.
+    """
+    width = min(dims, min(components, 120) + MORE)
+    basis = np.linalg.qr(np.sin(np.outer(np.arange(1, dims + 1), np.arange(1, width + 1))))[0]
+
+    def passed(v: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(v.shape)
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    out += x.T @ (x @ v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(list(out), pa.list_(pa.float64()))], names=["i", "x"])
+
+        cells = rows.select(vec_col).mapInArrow(run, "i long, x array<double>").select("i", F.posexplode("x").alias("j", "x"))
+        out = np.zeros(v.shape)
+        for i, j, x in cells.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+            out[i, j] = x
+        return out
+
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(passed(basis))[0]
+    small = basis.T @ passed(basis)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    squares = F.aggregate(vec_col, F.lit(0.0), lambda s, x: s + x * x)
+    whole = rows.agg(F.sum(squares)).first()[0] or 0.0
+    return np.maximum(values[::-1], 0), basis @ turn[:, ::-1], whole
+
+
 def principal_components(df: DataFrame, vec_col: str, dims: int, components: int | None = None, target: float = 0.95) -> tuple[DataFrame, list[float], np.ndarray]:
     """``df`` with vec_col replaced by its scores, the explained shares, and the loadings (dims x components).
 
@@ -50,15 +87,19 @@ def principal_components(df: DataFrame, vec_col: str, dims: int, components: int
     makes the sum of loading i times sin((i + 1) (c + 1)) positive.
     """
     rows = standardised(df, vec_col, dims)
-    cells = rows.select(vec_col).mapInArrow(_products, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    gram = np.zeros((dims, dims))
-    for i, j, x in cells:
-        gram[i, j] = x
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    share = values / (values.sum() or 1.0)
+    if dims > DENSE:
+        values, vectors, whole = _subspace(rows, vec_col, dims, components or dims)
+    else:
+        cells = rows.select(vec_col).mapInArrow(_products, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+        gram = np.zeros((dims, dims))
+        for i, j, x in cells:
+            gram[i, j] = x
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+        whole = values.sum()
+    share = values / (whole or 1.0)
     k = components or int(np.searchsorted(np.cumsum(share), target) + 1)
-    k = min(k, dims)
+    k = min(k, dims, len(share))
     sines = np.sin(np.outer(np.arange(1, dims + 1), np.arange(1, k + 1)))
     loadings = vectors[:, :k] * np.where((vectors[:, :k] * sines).sum(axis=0) < 0, -1.0, 1.0)
     dot = lambda c: F.aggregate(F.zip_with(vec_col, F.array(*[F.lit(float(x)) for x in loadings[:, c]]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -68,34 +109,115 @@ def principal_components(df: DataFrame, vec_col: str, dims: int, components: int
 def trustworthiness(df: DataFrame, id_col: str, original: Column, embedded: Column, k: int = 5) -> DataFrame:
     """trustworthiness: one row; 1 less the scaled ranks by which embedded neighbours are not original ones.
 
-    The k embedded neighbours of a point are found first; then each point counts,
-    in one pass and with sums that combine before the shuffle, how many others
-    are nearer in the original space than those.  No list of ranks is built.
+    The k embedded neighbours of each point are found block by block.  A block
+    of points then meets every block of the table with its k marks, the distances
+    of those neighbours in the original space, and counts how many points are as
+    near: k numbers for each point and block, which are added up.  Ties go by id.
     """
-    rows = df.select(F.col(id_col).alias("i"), original.alias("v"), embedded.alias("w"))
-    other = rows.select(F.col("i").alias("j"), F.col("v").alias("v2"), F.col("w").alias("w2"))
-    apart = rows.join(other, F.col("i") != F.col("j"))
-    first = W.partitionBy("i").orderBy("d", "j")
-    near = apart.select("i", "j", squared_distance(F.col("w"), F.col("w2")).alias("d")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("i", "j")
-    far = near.join(other, "j").join(rows.select("i", "v"), "i").select("i", F.struct(squared_distance(F.col("v"), F.col("v2")).alias("d"), "j").alias("t"))
-    marks = far.groupBy("i").agg(F.collect_list("t").alias("marks")).join(rows.select("i", "v"), "i")
-    d = F.struct(squared_distance(F.col("v"), F.col("v2")).alias("d"), F.col("j"))
-    pairs = marks.join(other, F.col("i") != F.col("j")).select("i", "marks", d.alias("at"))
-    ranks = pairs.groupBy("i").agg(*[F.sum((F.col("at") <= F.get("marks", F.lit(x))).cast("long")).alias(f"r{x}") for x in range(k)])
-    late = sum((F.greatest(F.coalesce(F.col(f"r{x}"), F.lit(0)) - k, F.lit(0)) for x in range(k)), F.lit(0))
+    rows = df.select(F.col(id_col).cast("long").alias("i"), original.alias("v"), embedded.alias("w"))
+    near = nearest(rows, rows, "i", "w", k).select(F.col("q_id").alias("i"), F.col("i").alias("j"))
+    ends = rows.select(F.col("i").alias("j"), F.col("v").alias("v2"))
+    marks = near.join(ends, "j").join(rows.select("i", "v"), "i").groupBy("i").agg(
+        F.array_sort(F.collect_list(F.struct(F.round(squared_distance(F.col("v"), F.col("v2")), 9).alias("d"), "j"))).alias("m")
+    )
+    marked = rows.select("i", "v").join(marks, "i").select("i", "v", F.col("m.d").alias("d"), F.col("m.j").alias("j"))
+
+    def step(q: pa.StructArray, base: pa.StructArray) -> pa.RecordBatch:
+        apart, at, qi = np.round(_pairs(q, base, "v"), 9), base.field("i").to_numpy(), q.field("i").to_numpy()
+        own = qi[:, None] == at[None, :]
+        late = np.zeros((len(qi), k), np.int64)
+        for row, (d, j) in enumerate(zip(q.field("d").to_pylist(), q.field("j").to_pylist(), strict=True)):
+            for c, (x, y) in enumerate(zip(d, j, strict=True)):
+                late[row, c] = np.count_nonzero(((apart[row] < x) | ((apart[row] == x) & (at <= y))) & ~own[row])
+        return pa.RecordBatch.from_arrays([pa.array(qi), *[pa.array(late[:, c]) for c in range(k)]], names=["i", *[f"r{c}" for c in range(k)]])
+
+    schema = "i long, " + ", ".join(f"r{c} long" for c in range(k))
+    counts = block_pairs(marked, rows.select("i", "v"), "i", ["v", "d", "j"], ["v"], step, schema)
+    ranks = counts.groupBy("i").agg(*[F.sum(f"r{c}").alias(f"r{c}") for c in range(k)])
+    late = sum((F.greatest(F.col(f"r{c}") - k, F.lit(0)) for c in range(k)), F.lit(0))
     n = F.count(F.lit(1))
     return ranks.agg((1 - F.lit(2.0) / (n * k * (2 * n - 3 * k - 1)) * F.sum(late)).alias("trustworthiness"))
 
 
+def _scored(df: DataFrame, features: list[str], weights: dict[str, dict[str, float]]) -> tuple[dict[str, Column], list[Column]]:
+    """Standard scores of the features over the whole set, and each category's weighted sum of them."""
+    one = df.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
+    z = {f: F.lit(0.0) if not one[f]["s"] else (F.col(f) - one[f]["m"]) / one[f]["s"] for f in features}
+    return z, [sum((z[f] * x for f, x in w.items()), F.lit(0.0)) for w in weights.values()]
+
+
+def classified(df: DataFrame, id_col: str, features: list[str], weights: dict[str, dict[str, float]], temperature: float, labels: dict[str, str]) -> DataFrame:
+    """id, category, confidence, scores (best first) and drivers: the up to three features that spoke for the category.
+
+    Softmax of weighted standard scores; to 3 digits.  Ties go to what is named first.
+    """
+    z, scores = _scored(df, features, weights)
+    each = [
+        F.struct((-s).alias("s"), F.lit(k).alias("o"), F.lit(c).alias("id"), top_labels({labels[f]: F.round(z[f] * x, 9) for f, x in w.items()}, 3).alias("drivers"))
+        for k, (s, (c, w)) in enumerate(zip(scores, weights.items(), strict=True))
+    ]
+    ordered = df.select(id_col, F.array_sort(F.array(*each)).alias("_s")).withColumn("_top", F.get("_s", F.lit(0))["s"])
+    ordered = ordered.withColumn("_all", F.aggregate("_s", F.lit(0.0), lambda a, e: a + F.exp((F.col("_top") - e["s"]) / temperature)))
+    share = lambda e: half_up(F.exp((F.col("_top") - e["s"]) / temperature) / F.col("_all"), 3)
+    return ordered.select(
+        id_col, F.get("_s", F.lit(0))["id"].alias("category"), half_up(1 / F.col("_all"), 3).alias("confidence"),
+        F.transform("_s", lambda e: F.struct(e["id"].alias("id"), share(e).alias("probability"))).alias("scores"), F.get("_s", F.lit(0))["drivers"].alias("drivers"),
+    )
+
+
+def category_rollup(members: DataFrame, categories: list[str], id_col: str, confidence: str, position: list[str]) -> DataFrame:
+    """One row for each category, empty ones too: n, members (surest first), mean_confidence (0 if empty), centre, representative.
+
+    The representative is the member nearest to the centre, then the smallest id.
+    """
+    centre = members.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("mean_confidence"), *[F.avg(p).alias(f"c{p}") for p in position])
+    far = sum(((F.col(p) - F.col(f"c{p}")) * (F.col(p) - F.col(f"c{p}")) for p in position), F.lit(0.0))
+    placed = members.join(centre.select("category", *[f"c{p}" for p in position]), "category").groupBy("category").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col(confidence)).alias("c"), F.col(id_col).alias("id")))).alias("m"), F.min_by(id_col, F.struct(F.round(far, 9), id_col)).alias("representative")
+    )
+    names = members.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    found = names.join(centre, "category", "left").join(placed, "category", "left")
+    none = F.array().cast("array<string>")
+    return found.select(
+        "category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.transform("m", lambda e: e["id"].cast("string")), none).alias("members"),
+        F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"), *[f"c{p}" for p in position], "representative",
+    )
+
+
+def ellipsoids(points: DataFrame, key: str, position: tuple[str, str, str], sigma: float = 1.6) -> DataFrame:
+    """key, centre, radii, matrix: the covariance ellipsoid of each group of four points or more.
+
+    Covariances are grouped sums; only one small row of each group is decomposed.
+    Radii ascend, and each axis points to its largest coefficient.  The matrix has
+    4 x 4 numbers, column by column: the scaled axes, then the centre.
+    """
+    pairs = [(a, b) for k, a in enumerate(position) for b in position[k:]]
+    sums = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(p).alias(f"m_{p}") for p in position], *[F.covar_pop(a, b).alias(f"v_{a}_{b}") for a, b in pairs]).where("n >= 4")
+    rows = sums.select(key, F.array(*[f"m_{p}" for p in position]).alias("centre"), F.array(*[f"v_{a}_{b}" for a, b in pairs]).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            radii, matrices = [], []
+            for centre, (xx, xy, xz, yy, yz, zz) in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                values, axes = np.linalg.eigh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]))
+                axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(3)])
+                r = sigma * np.sqrt(np.maximum(values, 1e-6))
+                whole = np.eye(4)
+                whole[:3, :3], whole[:3, 3] = axes * r, centre
+                radii.append(r.tolist())
+                matrices.append(whole.T.ravel().tolist())
+            wide = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(radii, wide), pa.array(matrices, wide)], names=[key, "centre", "radii", "matrix"])
+
+    return rows.mapInArrow(run, f"`{key}` {dict(points.dtypes)[key]}, centre array<double>, radii array<double>, matrix array<double>")
+
+
 def category_scores(df: DataFrame, id_col: str, features: list[str], weights: dict[str, dict[str, float]], temperature: float) -> DataFrame:
     """id, category and probability of the best category: softmax of weighted standard scores over the whole set.
 
     A feature that does not vary counts 0; ties go to the category named first.
     """
-    one = df.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
-    z = {f: F.lit(0.0) if not one[f]["s"] else (F.col(f) - one[f]["m"]) / one[f]["s"] for f in features}
-    score = lambda w: sum((z[f] * x for f, x in w.items()), F.lit(0.0))
-    scored = df.select(id_col, F.array(*[score(w) for w in weights.values()]).alias("_s")).withColumn("_top", F.array_max("_s"))
-    total = F.aggregate("_s", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("_top")) / temperature))
+    scored = df.select(id_col, F.array(*_scored(df, features, weights)[1]).alias("_s")).withColumn("_top", F.array_max("_s"))
+    whole = F.aggregate("_s", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("_top")) / temperature))
     names = F.array(*[F.lit(c) for c in weights])
-    return scored.select(id_col, F.element_at(names, F.array_position("_s", F.col("_top")).cast("int")).alias("category"), (1 / total).alias("probability"))
+    return scored.select(id_col, F.element_at(names, F.array_position("_s", F.col("_top")).cast("int")).alias("category"), (1 / whole).alias("probability"))

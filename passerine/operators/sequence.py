@@ -17,17 +17,61 @@ def islands(df: DataFrame, key: str, order: str, start: str, active: Column, max
     return out.where(F.col("last_row") - F.col("first_row") + 1 >= least)
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Last value of ``right`` at or before each row of ``left``: a union and one window, no range join."""
-    both = left.withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(dict(right.dtypes)[value])).unionByName(
-        right.select(key, time, value).withColumn("_side", F.lit(0)), allowMissingColumns=True
+def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tie: str) -> DataFrame:
+    """Last value of ``right`` at or before each row of ``left``: a union and one window, no range join.
+
+    Of right rows at one time the one with the largest ``tie`` counts.
+    """
+    kinds = dict(right.dtypes)
+    both = left.withColumns({"_side": F.lit(1), value: F.lit(None).cast(kinds[value]), "_tie": F.lit(None).cast(kinds[tie])}).unionByName(
+        right.select(key, time, value, F.col(tie).alias("_tie")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    w = W.partitionBy(key).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    w = W.partitionBy(key).orderBy(time, "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_tie")
+
+
+def interpolated(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tie: str) -> DataFrame:
+    """Value of ``right`` at each row of ``left``, on the line from the last point at or before it to the next.
+
+    After the last point its value holds; before the first there is none.  Times
+    are numbers; of points at one time that with the largest ``tie`` is the last.
+    """
+    w = W.partitionBy(key).orderBy(time, tie)
+    points = right.select(key, time, tie, F.struct(F.col(time).alias("t"), F.col(value).alias("x"), F.lead(time).over(w).alias("t2"), F.lead(value).over(w).alias("x2")).alias("_p"))
+    at = asof(left, points, key, time, "_p", tie)
+    part = (F.col(time) - F.col("_p.t")) / F.greatest(F.col("_p.t2") - F.col("_p.t"), F.lit(1e-3))
+    moved = F.col("_p.x") + (F.col("_p.x2") - F.col("_p.x")) * F.least(F.lit(1.0), part)
+    return at.withColumn(value, F.coalesce(moved, F.col("_p.x"))).drop("_p")
+
 
+def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int, first: str) -> DataFrame:
+    """Every point with the span [start, end) that holds it, the one with the least ``first``; nulls where none does.
 
-def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
-    """Points joined to the spans [start, end) that hold them, on the key and buckets of ``width`` seconds."""
+    Points and spans meet on the key and buckets of ``width``; rows of ``points``
+    stay separate, whatever they hold.
+    """
     p = points.withColumn("_k", F.floor(F.col(at) / width))
-    s = spans.withColumn("_k", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    return p.join(s, [key, "_k"], "left").where(F.col(start).isNull() | ((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))).drop("_k")
+    s = spans.where(F.col(end) > F.col(start)).withColumn("_k", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    names = [c for c in spans.columns if c != key]
+    s = s.select(F.col(key).alias("_key"), F.col("_k").alias("_b"), F.struct(F.col(first).alias("_f"), *[F.col(c).alias(f"_{c}") for c in names]).alias("_s"))
+    meets = (F.col(key) == F.col("_key")) & (F.col("_k") == F.col("_b")) & (F.col(at) >= F.col("_s")[f"_{start}"]) & (F.col(at) < F.col("_s")[f"_{end}"])
+    # equal points are counted, joined once, and dealt out again
+    cols = points.columns
+    grouped = p.groupBy(*cols, "_k").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    found = grouped.join(s, meets, "left").groupBy(*cols, "_n").agg(F.min_by("_s", F.col("_s._f")).alias("_s"))
+    again = found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return again.select(*cols, *[F.col("_s")[f"_{c}"].alias(c) for c in names])
+
+
+def chunks(df: DataFrame, duration: str, seconds: float) -> DataFrame:
+    """``df`` with chunk (from 0) and end: whole pieces of a duration, one at least; the last ends with it."""
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(duration), F.lit(0.0)) / seconds).cast("int"))
+    out = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("chunk", F.col("chunk").cast("long"))
+    return out.withColumn("end", F.least(F.coalesce(F.col(duration), F.lit(0.0)), (F.col("chunk") + 1) * seconds))
+
+
+def stacked(df: DataFrame, keys: list[str], order: list[str], value: str, most: float) -> DataFrame:
+    """``df`` with base and height of bars stacked in order up to ``most``; what begins beyond it goes."""
+    before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = df.withColumn("base", F.coalesce(F.round(F.sum(value).over(before), 9), F.lit(0.0))).where(F.col("base") < most)
+    return out.withColumn("height", F.least(F.col(value), F.lit(most) - F.col("base")))

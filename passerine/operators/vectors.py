@@ -2,31 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.scalar import total
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Vectors of a block: what is compared with each other block in one step.
+QUERIES, BASE = 512, 2048
+
+
+def blocks(df: DataFrame, id_col: str, size: int, rows: int, *columns: str) -> DataFrame:
+    """b (a number from 0), and lists of about ``size`` ids and columns: rows packed by a hash of their id."""
+    n = max(1, -(-rows // size))
+    keyed = df.withColumn("b", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
+    return keyed.groupBy("b").agg(F.collect_list(F.struct(id_col, *columns)).alias("rows"))
+
+
+def _pairs(q: pa.StructArray, b: pa.StructArray, vec_col: str) -> np.ndarray:
+    """Squared distances of all vectors of two blocks, dimension by dimension as in a running sum."""
+    wide = lambda s: np.stack(s.field(vec_col).to_numpy(zero_copy_only=False)).astype(np.float64)
+    x, y = wide(q), wide(b)
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        out += (x[:, k, None] - y[None, :, k]) ** 2
+    return out
+
+
+def block_pairs(queries: DataFrame, base: DataFrame, id_col: str, query_cols: list[str], base_cols: list[str], step, schema: str) -> DataFrame:
+    """``step(query block, base block)`` for every pair of blocks of a query set and a table.
+
+    Each base block travels once for each query block; nothing is broadcast.
+    """
+    n_q, n_b = queries.count(), base.count()
+    q = blocks(queries, id_col, QUERIES, n_q, *query_cols).select(F.col("b").alias("qb"), F.col("rows").alias("q"))
+    ids = F.sequence(F.lit(0), F.lit(max(1, -(-n_q // QUERIES)) - 1))
+    b = blocks(base, id_col, BASE, n_b, *base_cols).select("b", F.explode(ids).alias("qb"), F.col("rows").alias("r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield step(*[batch.column(c).slice(i, 1).flatten() for c in ("q", "r")])
+
+    dealt = b.hint("shuffle_hash").join(q, "qb").select("q", "r").repartition(max(1, min(n_q // QUERIES + 1, 64)) * max(1, min(n_b // BASE + 1, 64)))
+    return dealt.mapInArrow(run, schema)
+
+
 def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """k nearest rows of ``base`` for each query row: a stated query set against all rows, ties by id."""
-    q = queries.select(F.col(id_col).alias("q_id"), F.col(vec_col).alias("_q"))
-    pairs = q.join(base, F.col("q_id") != F.col(id_col)).withColumn("d2", F.round(squared_distance(F.col("_q"), F.col(vec_col)), 6))
+    """q_id, id, d2, nn_rank: k nearest rows of ``base`` for each query row, itself excluded, ties by id.
+
+    A stated query set against all rows, block by block; a pair of blocks gives k
+    rows for each query, which are merged.  Distances are rounded to 6 digits.
+    """
+    def step(q: pa.StructArray, b: pa.StructArray) -> pa.RecordBatch:
+        d, qi, bi = np.round(_pairs(q, b, vec_col), 6), q.field(id_col).to_numpy(), b.field(id_col).to_numpy()
+        d[qi[:, None] == bi[None, :]] = np.inf
+        order = np.argsort(bi, kind="stable")
+        best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+        rows = np.repeat(np.arange(len(qi)), best.shape[1])
+        near = d[rows, best.ravel()]
+        some = np.isfinite(near)
+        return pa.RecordBatch.from_arrays([pa.array(qi[rows][some]), pa.array(bi[best.ravel()][some]), pa.array(near[some])], names=["q_id", id_col, "d2"])
+
+    found = block_pairs(queries, base, id_col, [vec_col], [vec_col], step, f"q_id long, `{id_col}` long, d2 double")
     w = W.partitionBy("q_id").orderBy("d2", id_col)
-    return pairs.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k).drop("_q", vec_col)
-
-
-def descriptors(magnitude: Column) -> dict[str, Column]:
-    """Centroid, spread, crest, flatness and 85 % rolloff of a magnitude spectrum, in bins."""
-    total = F.aggregate(magnitude, F.lit(0.0), lambda s, x: s + x)
-    n = F.size(magnitude)
-    at = lambda f: F.aggregate(F.transform(magnitude, f), F.lit(0.0), lambda s, x: s + x)
-    centroid = at(lambda x, i: x * i) / total
-    logs = F.aggregate(magnitude, F.lit(0.0), lambda s, x: s + F.log(x + 1e-12))
-    return {
-        "centroid": centroid,
-        "spread": F.sqrt(F.greatest(at(lambda x, i: x * i * i) / total - centroid * centroid, F.lit(0.0))),
-        "crest": F.array_max(magnitude) / (total / n),
-        "flatness": F.exp(logs / n) / (total / n),
-    }
+    return found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+
+
+def time_gap_edges(points: DataFrame, key: str, id_col: str, time: str, position: Column, gap: float, k: int) -> DataFrame:
+    """key, src, dst, distance: undirected edges to the k nearest points at least ``gap`` away in time, within a key.
+
+    A key's points are a grid of bounded size, so their pairs are too.
+    """
+    p = points.select(key, F.col(id_col).alias("src"), F.col(time).alias("_t"), position.alias("_v"))
+    other = p.select(F.col(key).alias("_key"), F.col("src").alias("dst"), F.col("_t").alias("_t2"), F.col("_v").alias("_v2"))
+    far = (F.col(key) == F.col("_key")) & (F.col("src") != F.col("dst")) & (F.abs(F.col("_t") - F.col("_t2")) >= gap)
+    pairs = p.join(other, far).select(key, "src", "dst", F.round(F.sqrt(squared_distance(F.col("_v"), F.col("_v2"))), 9).alias("distance"))
+    w = W.partitionBy(key, "src").orderBy("distance", "dst")
+    near = pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+    return near.select(key, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance").dropDuplicates([key, "src", "dst"])
+
+
+def descriptors(magnitude: Column, hz: float = 1.0) -> Column:
+    """Struct of centroid, bandwidth, rolloff, flatness, crest, entropy and slope of a spectrum with bins ``hz`` apart.
+
+    One pass adds up the moments, a second finds the rolloff.
+    """
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("s", "s1", "s2", "ln", "pl", "i")])
+    step = lambda a, x: F.struct(
+        (a["s"] + x).alias("s"), (a["s1"] + x * a["i"]).alias("s1"), (a["s2"] + x * a["i"] * a["i"]).alias("s2"),
+        (a["ln"] + F.log(x + 1e-12)).alias("ln"), (a["pl"] + F.when(x > 0, x * F.log2(x)).otherwise(0.0)).alias("pl"), (a["i"] + 1).alias("i"),
+    )
+
+    def found(m: Column) -> Column:
+        n, whole = m["i"], m["s"] + 1e-12
+        mean, c = whole / n, m["s1"] / whole
+        run = lambda a, x: F.struct((a["c"] + x).alias("c"), (a["k"] + F.when(a["c"] + x < whole * 0.85, 1).otherwise(0)).alias("k"))
+        passed = F.aggregate(magnitude, F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k")), run)["k"]
+        apart = n * (n * n - 1) / 12 * hz * hz + 1e-12
+        return F.struct(
+            (c * hz).alias("centroid"),
+            (F.sqrt(F.greatest((m["s2"] - 2 * c * m["s1"] + c * c * m["s"]) / whole, F.lit(0.0))) * hz).alias("bandwidth"),
+            (F.least(passed, n.cast("int") - 1) * F.lit(float(hz))).alias("rolloff"),
+            (F.exp(m["ln"] / n) / (mean + 1e-12)).alias("flatness"),
+            (F.array_max(magnitude) / (mean + 1e-12)).alias("crest"),
+            (-(m["pl"] - m["s"] * F.log2(whole)) / whole / F.log2(n)).alias("entropy"),
+            ((m["s1"] - (n - 1) / 2 * m["s"]) * hz / apart).alias("slope"),
+        )
+
+    return F.get(F.transform(F.array(F.aggregate(magnitude, zero, step)), found), F.lit(0))
+
+
+def rms(samples: Column) -> Column:
+    return F.sqrt(total(F.transform(samples, lambda x: x * x)) / F.size(samples))
+
+
+def zero_crossings(samples: Column) -> Column:
+    """Changes of sign for each sample; zero counts as positive, and the first sample is no change."""
+    pairs = F.zip_with(F.slice(samples, 2, F.size(samples) - 1), F.slice(samples, 1, F.size(samples) - 1), lambda x, y: F.when((x >= 0) != (y >= 0), 1.0).otherwise(0.0))
+    return total(pairs) / F.size(samples)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.scalar import entropy, gini, nearest_rank
+from ..functions.scalar import entropy, gini, unit_range
 from ..operators import select, sequence, vectors
 from ..sources.tables import table
 
@@ -49,10 +49,11 @@ def top150_resort(spark, d):
     return _events(spark, d).select("user_id", "event_id", "value").orderBy(F.desc("value"), "event_id").limit(150).orderBy("user_id", "event_id")
 
 
-@query("select user_id, event_type from (select user_id, event_type, row_number() over (partition by user_id order by n desc, event_type) k from (select user_id, event_type, count(*) n from events group by 1, 2)) where k = 1")
+@query("select user_id, coalesce(event_type, 'Unknown') as event_type, n, round(weight, 4) as weight from (select *, row_number() over (partition by user_id order by n desc, round(weight, 6) desc, event_type) k from (select user_id, event_type, count(*) n, sum(value) weight from events group by 1, 2)) where k = 1")
 def modal_event_type(spark, d):
-    counts = _events(spark, d).groupBy("user_id", "event_type").count()
-    return select.top_per_group(counts, ["user_id"], [F.desc("count"), F.col("event_type")], 1).select("user_id", "event_type")
+    counts = _events(spark, d).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("weight"))
+    best = select.top_per_group(counts, ["user_id"], [F.desc("n"), F.desc(F.round("weight", 6)), F.col("event_type")], 1)
+    return best.select("user_id", F.coalesce("event_type", F.lit("Unknown")).alias("event_type"), "n", F.round("weight", 4).alias("weight"))
 
 
 @query("select event_type, count(*) as n, max(value) as best, min(value) as least from events group by 1")
@@ -114,15 +115,14 @@ def islands_segmentation(spark, d):
 
 @query("with s as (select user_id, list_sort(list(value)) v from events group by 1) select user_id, v[1 + cast(floor(0.2 * (len(v) - 1)) as int)] as p20, v[1 + cast(floor(0.85 * (len(v) - 1)) as int)] as p85 from s")
 def nearest_rank_quantiles(spark, d):
-    v = _events(spark, d).groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return v.select("user_id", nearest_rank(F.col("v"), 0.2).alias("p20"), nearest_rank(F.col("v"), 0.85).alias("p85"))
+    return select.nearest_ranks(_events(spark, d), ["user_id"], "value", {"p20": 0.2, "p85": 0.85})
 
 
-@query("select event_id, round(value / max(value) over (partition by user_id), 6) as share, round((value - min(value) over (partition by user_id)) / nullif(max(value) over (partition by user_id) - min(value) over (partition by user_id), 0), 6) as unit from events")
+@query("select event_id, round(value / max(value) over (partition by user_id), 6) as share, round(coalesce((value - min(value) over (partition by user_id)) / nullif(max(value) over (partition by user_id) - min(value) over (partition by user_id), 0), 0.5), 6) as unit from events")
 def minmax_norm(spark, d):
-    w = W.partitionBy("user_id")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return _events(spark, d).select("event_id", F.round(F.col("value") / hi, 6).alias("share"), F.round((F.col("value") - lo) / F.nullif(hi - lo, F.lit(0.0)), 6).alias("unit"))
+    e = _events(spark, d).select("user_id", "event_id", "value")
+    ends = e.groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return e.join(ends, "user_id").select("event_id", F.round(F.col("value") / F.col("hi"), 6).alias("share"), F.round(unit_range(F.col("value"), F.col("lo"), F.col("hi")), 6).alias("unit"))
 
 
 @query(f"select user_id, {EPOCH} // 10800 as chunk, max(value) as best, count(*) as n from events group by 1, 2")
@@ -145,16 +145,16 @@ def last_n(spark, d):
 def asof_prev(spark, d):
     e = _events(spark, d)
     left = e.where("event_type = 'error'").select("user_id", "ts", "event_id")
-    right = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("bought"))
-    return sequence.asof(left, right, "user_id", "ts", "bought").select("event_id", "bought")
+    right = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("bought"), F.col("event_id").alias("tie"))
+    return sequence.asof(left, right, "user_id", "ts", "bought", "tie").select("event_id", "bought")
 
 
-@query(f"with s as (select user_id, event_id as span_id, {EPOCH} as a, {EPOCH} + 7200 as b from events where event_type = 'signup') select e.event_id, min(s.span_id) as span_id from events e join s on s.user_id = e.user_id and {EPOCH.replace('ts', 'e.ts')} >= s.a and {EPOCH.replace('ts', 'e.ts')} < s.b where e.event_type = 'click' group by 1")
+@query(f"with s as (select user_id, event_id as span_id, {EPOCH} as a, {EPOCH} + 7200 as b from events where event_type = 'signup') select e.event_id, min(s.span_id) as span_id from events e left join s on s.user_id = e.user_id and {EPOCH.replace('ts', 'e.ts')} >= s.a and {EPOCH.replace('ts', 'e.ts')} < s.b where e.event_type = 'click' group by 1")
 def interval_join_first(spark, d):
     e = _events(spark, d).withColumn("sec", _second())
     spans = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span_id"), F.col("sec").alias("a"), (F.col("sec") + 7200).alias("b"))
     points = e.where("event_type = 'click'").select("user_id", "event_id", "sec")
-    return sequence.interval_join(points, spans, "user_id", "sec", "a", "b", 7200).where("span_id is not null").groupBy("event_id").agg(F.min("span_id").alias("span_id"))
+    return sequence.interval_join(points, spans, "user_id", "sec", "a", "b", 7200, "span_id").select("event_id", "span_id")
 
 
 _DIST = "round(list_sum(list_transform(range(1, 65), lambda i: (cast(a.embedding[i] as double) - cast(b.embedding[i] as double)) * (cast(a.embedding[i] as double) - cast(b.embedding[i] as double)))), 6)"
@@ -179,12 +179,6 @@ def diversity(spark, d):
     return _vectors(spark, d).select("vec_id", F.round(entropy(v), 6).alias("adi"), F.round(gini(v), 6).alias("aei"))
 
 
-@query(f"with m as (select vec_id, {_MAG} v from embeddings), t as (select vec_id, v, list_sum(v) s, list_sum(list_transform(v, lambda x, i: x * (i - 1))) a, list_sum(list_transform(v, lambda x, i: x * (i - 1) * (i - 1))) b, list_sum(list_transform(v, lambda x: ln(x + 1e-12))) l from m) select vec_id, round(a / s, 6) as centroid, round(sqrt(greatest(b / s - a / s * a / s, 0)), 6) as spread, round(list_max(v) / (s / 64), 6) as crest, round(exp(l / 64) / (s / 64), 6) as flatness from t")
-def spectral_descriptors(spark, d):
-    found = vectors.descriptors(F.transform("embedding", F.abs))
-    return _vectors(spark, d).select("vec_id", *[F.round(c, 6).alias(k) for k, c in found.items()])
-
-
 @query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, count(*) as n from lineitem group by 1, 2")
 def category_rollup(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count(F.lit(1)).alias("n"))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.scalar import nearest_rank
-from ..operators import matrix, sequence, signal, vectors
+from ..operators import matrix, select, sequence, signal, vectors
 from ..sources.tables import table
 from .queries import _MAG, SQL, _events, _vectors, query
 
@@ -38,18 +37,18 @@ def segment_gaps(spark, d):
     return s.select("user_id", F.col("island").cast("long").alias("island"), (F.col("first_row") - before - 1).cast("long").alias("gap"))
 
 
-@query("with s as (select user_id, list_sort(list(value)) v from events group by 1), t as (select user_id, v[1 + cast(floor(0.2 * (len(v) - 1)) as int)] as p from s) select event_id, value from events join t using (user_id) where value > p")
+@query("with s as (select user_id, list_sort(list(value)) v from events group by 1), t as (select user_id, v[1 + cast(floor(0.2 * (len(v) - 1)) as int)] as p from s) select event_id, value from events join t using (user_id) where value >= p")
 def amplitude_filter(spark, d):
     e = _events(spark, d).select("user_id", "event_id", "value")
-    least = e.groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", nearest_rank(F.col("v"), 0.2).alias("p"))
-    return e.join(least, "user_id").where("value > p").select("event_id", "value")
+    least = select.nearest_ranks(e, ["user_id"], "value", {"p": 0.2})
+    return e.join(least, "user_id").where("value >= p").select("event_id", "value")
 
 
 @query("select event_id, round((value - avg(value) over w) / coalesce(nullif(stddev_pop(value) over w, 0), 1), 6) as z from events window w as (partition by event_type)")
 def zscore(spark, d):
     e = _events(spark, d).select("event_type", "event_id", "value")
     one = e.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return e.join(F.broadcast(one), "event_type").select("event_id", F.round((F.col("value") - F.col("m")) / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0)), 6).alias("z"))
+    return e.join(one, "event_type").select("event_id", F.round((F.col("value") - F.col("m")) / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0)), 6).alias("z"))
 
 
 @query("with r as (select user_id, event_id, ts, count(*) over w as n, avg(value * value) over w as p from events window w as (partition by user_id order by ts, event_id rows between 5 preceding and current row)) select user_id, event_id, round(sqrt(p), 6) as rms from (select *, row_number() over (partition by user_id order by round(p, 6) desc, ts, event_id) k from r where n = 6) where k = 1")
@@ -65,13 +64,6 @@ def cumulative_threshold(spark, d):
     return _magnitudes(spark, d).select("vec_id", signal.rolloff_bin(F.col("embedding")).alias("rolloff"))
 
 
-@query(f"with m as (select vec_id, label, {_MAG} v from embeddings), p as (select *, lag(v) over (partition by label order by vec_id) w from m) select vec_id, coalesce(round(list_sum(list_transform(range(1, 65), lambda i: greatest(0.0, v[i] - w[i]))), 6), 0.0) as flux from p")
-def spectral_flux(spark, d):
-    before = F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    rise = F.aggregate(F.zip_with("embedding", "w", lambda x, y: F.greatest(F.lit(0.0), x - y)), F.lit(0.0), lambda s, x: s + x)
-    return _magnitudes(spark, d).withColumn("w", before).select("vec_id", F.coalesce(F.round(rise, 6), F.lit(0.0)).alias("flux"))
-
-
 @query(f"with m as (select vec_id, {_MAG} v from embeddings), u as (select vec_id, unnest(v) x, unnest(range(64)) * {HZ} f from m), s as (select vec_id, sum(case when f >= 1000 and f < 2000 then x else 0 end) a, sum(case when f >= 2000 then x else 0 end) b from u group by 1), g as (select vec_id, f, 10 * log10(x + 1e-12) db from u where f >= 2000 and f <= 8000), i as (select vec_id, sum(db - lo) * {HZ / 1000} bi from (select *, min(db) over (partition by vec_id) lo from g) group by 1) select vec_id, round((b - a) / (b + a), 6) as ndsi, round(bi, 5) as bi from s join i using (vec_id)")
 def soundscape_indices(spark, d):
     v = F.col("embedding")
@@ -102,9 +94,10 @@ def representative(spark, d):
 @query("select round(avg(cast(a.label = b.label as int)), 6) as rate, count(*) as n from (" + SQL["knn_edges"] + ") e join embeddings a on a.vec_id = q_id join embeddings b on b.vec_id = e.vec_id where nn_rank = 1")
 def nn_label_rate(spark, d):
     e = _vectors(spark, d)
-    near = vectors.nearest(e.where("vec_id % 20 = 0").withColumnRenamed("label", "q_label"), e, "vec_id", "embedding", 1)
-    q = e.select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"))
-    return near.join(q, "q_id").agg(F.round(F.avg((F.col("label") == F.col("q_label")).cast("int")), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+    near = vectors.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 1)
+    named = lambda i, n: e.select(F.col("vec_id").alias(i), F.col("label").alias(n))
+    both = near.join(named("q_id", "q_label"), "q_id").join(named("vec_id", "label"), "vec_id")
+    return both.agg(F.round(F.avg((F.col("label") == F.col("q_label")).cast("int")), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 _STANDARD = """s as (select k, avg(x) m, stddev_pop(x) sd from (select unnest(range(1, 65)) k, cast(unnest(embedding) as double) x from embeddings) group by k),

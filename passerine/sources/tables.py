@@ -17,11 +17,14 @@ def detections(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """Lines 'Scientific name_Common name'."""
-    line = F.trim("value")
-    return spark.read.text(path).where(F.length(line) > 0).select(
-        F.substring_index(line, "_", 1).alias("scientific_name"), F.regexp_extract(line, "_(.*)$", 1).alias("common_name")
-    )
+    """Lines 'Scientific name_Common name' with id, their place in the file; without '_' the one name is both.
+
+    Only what stands between the first '_' and a second one is the common name.
+    """
+    line = F.regexp_replace(F.trim("value"), "\r$", "")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split(F.col("value"), "\n"), lambda x: F.trim(x) != "")).alias("id", "value"))
+    parts = F.split(line, "_")
+    return rows.select("id", F.get(parts, F.lit(0)).alias("scientific_name"), F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))).alias("common_name"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
