@@ -3,7 +3,8 @@
 The words of all templates and base phrases are put into one suffix automaton.
 A document streams through it once: at each word the automaton gives the longest
 string of template words that ends there (matching statistics).  Long maximal
-matches are chained, in template order, into covered spans of a template.
+matches are chained, in template order, into covered spans of a template, by
+dynamic programming over the matches within reach.
 """
 
 from __future__ import annotations
@@ -17,16 +18,37 @@ from .common import word_tokens
 
 #: Phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Opening or notice words of public licences, by label.
+#: Texts and notices of public licences, by label; each paragraph is a template of its own.
 TEMPLATES = {
-    "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    "apache-2.0": ("licensed under the apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
-    "cc-by-nc": ("licensed under cc by nc 4 0",),
+    "mit": (
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    ),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "gpl": (
+        "This work is licensed under the GNU General Public License version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    ),
+    "zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",),
+    "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "cc-by-nc": ("Licensed under CC BY NC 4.0",),
 }
 #: Words that a match has at least to enter a chain, words of the text that a chain may skip, and the part of a template to be covered.
 LEAST_MATCH, GAP, LEAST_COVER = 3, 50, 0.7
@@ -80,11 +102,11 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self):
+    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.words: dict[bytes, int] = {}
-        numbers = lambda s: [self.words.setdefault(w, len(self.words) + 1) for w in s.encode().split()]
-        self.labels = [label for label, texts in TEMPLATES.items() for _ in texts]
-        texts = [numbers(t) for many in TEMPLATES.values() for t in many]
+        numbers = lambda s: [self.words.setdefault(w, len(self.words) + 1) for w in word_tokens(s.encode())]
+        self.labels = [label for label, texts in templates.items() for _ in texts]
+        texts = [numbers(t) for many in templates.values() for t in many]
         self.sizes = [len(t) for t in texts]
         phrases = [(numbers(p), label) for p, label in PHRASES.items()]
         self.sam = SuffixAutomaton(texts + [p for p, _ in phrases])
@@ -133,33 +155,36 @@ class Scanner:
         return len(words), base, self._chains(matches)
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Matches of each template, joined while they go on in it within the gap."""
-        open_: dict[int, list[int]] = {}  # template: start, end, its last word, words covered
-        out = []
-
-        def close(k: int) -> None:
-            start, end, _, covered = open_.pop(k)
-            if covered >= LEAST_COVER * self.sizes[k]:
-                out.append((self.labels[k], start, end, covered / self.sizes[k]))
-
+        """The best chains of each template that don't overlap in the text: label, start, end, covered part.
+
+        A chain takes matches that go on in the text and in the template, with at
+        most ``GAP`` words of text between them; of all chains that end in a match
+        at one of its places the one that covers most is kept, so a stray fragment
+        breaks nothing.
+        """
+        ends: dict[int, list[tuple[int, int, int, int]]] = {}  # template: chains as covered, start, end, its last word
         for start, n, state in matches:
-            seen = set()
             for k, last in self.sam.places[state]:
-                if k >= len(self.sizes) or k in seen:
-                    continue
-                if k in open_:
-                    was = open_[k]
-                    new = min(n, last - was[2], start + n - was[1])
-                    if new > 0 and start - was[1] <= GAP:
-                        open_[k] = [was[0], start + n, last, was[3] + new]
-                        seen.add(k)
-                        continue
-                    close(k)
-                open_[k] = [start, start + n, last, n]
-                seen.add(k)
-        for k in list(open_):
-            close(k)
-        return sorted(out, key=lambda x: (x[1], x[0]))
+                if k < len(self.sizes):
+                    chains = ends.setdefault(k, [])
+                    best = (n, start, start + n, last)
+                    for covered, first, end, at in reversed(chains):
+                        if start - end > GAP:
+                            break
+                        new = min(n, last - at, start + n - end)
+                        if new > 0 and covered + new > best[0]:
+                            best = (covered + new, first, start + n, last)
+                    chains.append(best)
+        out = []
+        for k, chains in ends.items():
+            taken: list[tuple[int, int]] = []
+            for covered, start, end, _ in sorted(chains, key=lambda c: (-c[0], c[1], c[2])):
+                if covered < LEAST_COVER * self.sizes[k]:
+                    break
+                if all(end <= a or start >= b for a, b in taken):
+                    taken.append((start, end))
+                    out.append((self.labels[k], start, end, covered / self.sizes[k]))
+        return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
 
 _scanner: list[Scanner] = []

@@ -1,15 +1,15 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 E-mail addresses, national and international phone numbers, IPv4 addresses, card
-numbers and titled names are found by one pattern; a number of another length
-than a usual card's is one only if its check digit is right.  Each distinct entity gets a keyed replacement of its
-own type: every character is replaced by one of its kind (digit, vowel or
-consonant, in its case and script), separators stay, given names change to
-another name of the same gender, addresses move to a reserved example domain,
-phone numbers keep their country code.  Replacements are made once for each
-distinct entity, so the same entity has the same one everywhere; two entities
-with one replacement, or a replacement that is an entity of the corpus, are
-tried again until none is left.
+numbers and titled names are found by one pattern.  What is replaced is not the
+string but what it names, in one form for all its spellings: an address in lower
+case, the digits of a number, each part of a name without title and case.  Every
+such part gets one keyed replacement of its own kind: digits for digits, letters
+of the same script and kind, given names of the same gender, an address of a
+reserved range or example domain; country codes and check digits stay right.  So
+'Mr. John Smith', 'Mr John Smith' and 'MR Smith' share a surname, before and after.
+Two parts with one replacement, or a replacement that is a part found in the
+corpus, are tried again until none is left.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, release, text_or_empty
 
 _TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Lady|Herr|Frau|Doktor|Monsieur|Madame|Mme|Mlle|Señor|Señora|Señorita|Sr|Sra|Srta|Signor|Signora|Dott"
-_NAME = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
+_NAME = r"\p{Lu}[\p{L}\p{M}]{0,40}+(?![\p{L}\p{M}])(?:['’-]\p{L}[\p{L}\p{M}]{0,40}+(?![\p{L}\p{M}])){0,4}+"
 _PHONES = (
     r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -][0-9]{4}",
     r"(?<![\p{L}0-9])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
@@ -32,7 +32,7 @@ _PHONES = (
 )
 #: Java patterns, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "phone": "(?:" + "|".join(_PHONES) + ")",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?|[1-9][0-9]{12,18}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3})(?![0-9])",
@@ -41,11 +41,17 @@ PATTERNS = {
 #: Card numbers of this shape count as they are; those of other lengths need the right check digit.
 FOUR_BY_FOUR = r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?$"
 ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
-#: Given names by gender; each changes to the next of its list in a keyed order.
+#: Given names by gender and script, in lower case; each is replaced by the next of its list in a keyed order.
 GIVEN = {
-    "f": ("Anna", "Carmen", "Claire", "Elena", "Emma", "Julia", "Laura", "Maria", "Mary", "Sarah", "Sophie", "Susan"),
-    "m": ("David", "Hans", "James", "Jean", "John", "Luis", "Mark", "Paul", "Peter", "Pierre", "Robert", "Thomas"),
+    "f": "anna alice amy carmen caroline claire clara elena emily emma eva grace hannah helen ingrid isabel jane julia karen laura lea lucia maria marie mary nina olivia patricia petra rosa sarah sofia sophie susan ursula".split(),
+    "m": "adam alan alexander andrew anton carlos charles daniel david dieter erik felix francis frank george hans henry james jean john jorge karl klaus luis marco mark martin michael paul peter pierre robert simon thomas victor walter".split(),
+    "f-el": "αννα ελένη ιωάννα κατερίνα μαρία σοφία".split(),
+    "m-el": "γιάννης γιώργος δημήτρης κώστας νίκος παύλος".split(),
+    "f-ru": "анна елена ирина мария ольга татьяна".split(),
+    "m-ru": "алексей андрей иван михаил николай сергей".split(),
 }
+#: Titles that tell the gender of a given name that is in no list.
+_FEMALE, _MALE = "Mrs|Ms|Miss|Lady|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Signora", "Mr|Sir|Herr|Monsieur|Señor|Sr|Signor|Dott"
 KINDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "äöüáàâéèêëíîïóôúù", "çñß", "ÄÖÜÁÀÂÉÈÊËÍÎÏÓÔÚÙ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
 #: For letters outside ``KINDS``: a class of letters, and what replaces them; the last takes every other letter.
 CLASSES = (
@@ -56,10 +62,11 @@ CLASSES = (
     (r"\p{Lu}", "BCDFGHJKLMNPQRSTVWXYZ"), (r"\p{L}", "bcdfghjklmnpqrstvwxyz"),
 )
 TRIES = 12
+_TOKEN = r"\p{Lu}[\p{L}\p{M}]*+"
 
 
 def _given(key: str) -> dict[str, str]:
-    """A keyed cycle through each gender's list."""
+    """A keyed cycle through each list."""
     out = {}
     for names in GIVEN.values():
         order = sorted(names, key=lambda n: hashlib.sha256(f"{key}:{n}".encode()).digest())
@@ -82,59 +89,126 @@ def _masked(value: Column, digest: Column) -> Column:
     return F.when(value == "", "").otherwise(F.array_join(F.transform(F.split(value, ""), change), ""))
 
 
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
 def kind_of(value: Column) -> Column:
     out = F.when(F.instr(value, "@") > 0, "email")
     for kind in ("phone", "ip", "card"):
         out = out.when(value.rlike(f"^{PATTERNS[kind]}$"), kind)
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    right = value.rlike(FOUR_BY_FOUR) | F.call_function("luhn_check", digits)
+    right = value.rlike(FOUR_BY_FOUR) | F.call_function("luhn_check", _digits(value))
     return F.when((out == "card") & ~right, "none").otherwise(out.otherwise("name"))
 
 
-def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity at an attempt; later ones add a number where the format has room."""
-    digest = F.sha2(F.concat_ws(":", F.lit(key), kind, value, attempt.cast("string")), 512)
+def _parts(value: Column, kind: Column) -> Column:
+    """What is replaced of an entity: an array of kind, part, gender (null: not told)."""
+    one = lambda part: F.array(F.struct(kind.alias("kind"), part.alias("part"), F.lit(None).cast("string").alias("gender")))
+    title = F.regexp_extract(value, r"^(\p{L}+)", 1)
+    gender = F.when(title.rlike(f"^(?:{_FEMALE})$"), "f").when(title.rlike(f"^(?:{_MALE})$"), "m")
+    tokens = F.regexp_extract_all(F.regexp_replace(value, r"^[^ ]+ ", ""), F.lit(f"({_TOKEN})"), F.lit(1))
+    named = F.transform(tokens, lambda t, i: F.struct(F.lit("word").alias("kind"), F.lower(t).alias("part"), F.when((i == 0) & (F.size(tokens) > 1), gender).alias("gender")))
+    return F.when(kind == "email", one(F.lower(value))).when(kind.isin("phone", "card"), one(_digits(value))).when(kind == "name", named).otherwise(one(value))
+
+
+def _luhn(digits: Column) -> Column:
+    """The check digit that belongs after these digits."""
+    double = lambda c, i: F.when(i % 2 == 0, F.pmod(c * 2, F.lit(10)) + (c * 2 / 10).cast("int")).otherwise(c)
+    values = F.transform(F.split(F.reverse(digits), ""), lambda c, i: double(c.cast("int"), i))
+    return F.pmod(-F.aggregate(values, F.lit(0), lambda s, x: s + x), F.lit(10)).cast("string")
+
+
+def _replaced(kind: Column, part: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The replacement of a part at an attempt; later ones take more room."""
+    digest = F.sha2(F.concat_ws(":", F.lit(key), kind, part, attempt.cast("string")), 512)
     more = F.when(attempt > 2, attempt.cast("string")).otherwise("")
-    email = F.concat(_masked(F.substring_index(value, "@", 1), digest), more, F.lit("@"), F.substring(digest, 1, 6), F.lit(".example.org"))
-    country = F.regexp_extract(value, r"^(\+[0-9]{1,3} ?)", 1)
-    phone = F.concat(country, _masked(F.expr("substring(value, length(regexp_extract(value, '^([+][0-9]{1,3} ?)', 1)) + 1)"), digest))
-    octet = lambda i: F.pmod(F.conv(F.substring(digest, 8 * i + 1, 6), 16, 10).cast("int"), F.lit(254)) + 1
-    ip = F.concat_ws(".", F.lit("10"), *[octet(i).cast("string") for i in range(3)])
-    title, first, last = (F.regexp_extract(value, r"^([^ ]+ )([^ ]+)(.*)$", i) for i in (1, 2, 3))
+    email = F.concat(_masked(F.substring_index(part, "@", 1), digest), more, F.lit("@"), F.substring(digest, 1, 6), F.lit(".example.org"))
+    masked = _masked(part, digest)
+    body = F.expr("substring(part, 1, length(part) - 1)")
+    card = F.when(F.call_function("luhn_check", part), F.concat(_masked(body, digest), _luhn(_masked(body, digest)))).otherwise(masked)
+    byte = lambda i, n: F.pmod(F.conv(F.substring(digest, 8 * i + 1, 6), 16, 10).cast("int"), F.lit(n))
+    first = F.when(attempt < 4, F.lit(10)).when(attempt < 8, byte(3, 15) + 240).otherwise(byte(3, 223) + 1)  # private, reserved, then any
+    ip = F.concat_ws(".", first.cast("string"), *[(byte(i, 254) + 1).cast("string") for i in range(3)])
+    # a given name in no list ends as names of its gender do
+    ends = lambda latin, greek, russian: F.when(part.rlike(r"\p{IsGreek}$"), greek).when(part.rlike(r"\p{IsCyrillic}$"), russian).otherwise(latin)
+    last = F.when(gender == "f", ends("a", "α", "а")).when(gender == "m", ends("n", "ς", "н"))
+    grown = F.concat(masked, F.when(attempt > 5, _masked(F.lit("ab"), digest)).otherwise(""))
+    word = F.transform(F.array(grown), lambda g: F.when(last.isNotNull() & (F.length(part) > 2) & part.rlike(r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]$"), F.concat(F.substring(g, F.lit(1), F.length(g) - 1), last)).otherwise(g))[0]
+    return F.when(kind == "email", email).when(kind == "phone", masked).when(kind == "ip", ip).when(kind == "card", card).otherwise(word)
+
+
+def _part_surrogates(parts: DataFrame, key: str) -> DataFrame:
+    """kind, part, sub of distinct parts (kind, part, gender).
+
+    Names in the lists take each other's places.  Of other parts of one kind that
+    share a replacement the first keeps it; the others, and those whose
+    replacement is itself a part or a listed name, are tried again.  It fails
+    after ``TRIES`` attempts rather than return a collision.
+    """
     names = _given(key)
-    given = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    name = F.concat(title, F.when(first.isin(list(names)), given[first]).otherwise(_masked(first, digest)), _masked(last, digest))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", _masked(value, digest)).otherwise(name)
+    listed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    known = parts.where(F.col("kind") == "none").select("kind", "part", F.col("part").alias("sub"))
+    cycled = parts.where((F.col("kind") == "word") & F.col("part").isin(list(names))).select("kind", "part", listed[F.col("part")].alias("sub"))
+    done = checkpoint(known.unionByName(cycled))
+    todo = parts.where((F.col("kind") != "none") & ~((F.col("kind") == "word") & F.col("part").isin(list(names))))
+    real = parts.select("kind", F.col("part").alias("sub"))
+    for attempt in range(TRIES):
+        tried = todo.withColumn("sub", _replaced(F.col("kind"), F.col("part"), F.col("gender"), F.lit(attempt), key))
+        first = tried.groupBy("kind", "sub").agg(F.min("part").alias("part"))
+        good = first.join(real, ["kind", "sub"], "left_anti").where(~((F.col("kind") == "word") & F.col("sub").isin(list(names))))
+        good = good.join(done.select("kind", "sub"), ["kind", "sub"], "left_anti")
+        got = checkpoint(good.select("kind", "part", "sub"))
+        done = checkpoint(done.unionByName(got))
+        todo = checkpoint(todo.join(got.select("kind", "part"), ["kind", "part"], "left_anti"))
+        if todo.isEmpty():
+            return done
+    raise ValueError(f"{todo.count()} parts have no replacement of their own after {TRIES} attempts")
+
+
+def _rendered(value: Column, kind: Column, subs: Column) -> Column:
+    """The entity with its parts replaced, in its own format."""
+    sub = F.get(subs, F.lit(0))
+    place = lambda i: F.length(_digits(F.substring(value, F.lit(1), i)))  # noqa: E731  digits before the i-th character
+    poured = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(sub, place(i) + 1, F.lit(1))).otherwise(c)), "")
+    country = F.regexp_extract(value, r"^(\+[0-9]{1,3} ?)", 1)
+    phone = F.transform(F.array(poured), lambda p: F.concat(country, F.substring(p, F.length(country) + 1, F.length(p))))[0]
+    title = F.regexp_extract(value, r"^([^ ]+ )", 1)
+    rest = F.regexp_replace(value, r"^[^ ]+ ", "")
+    tokens = F.regexp_extract_all(rest, F.lit(f"({_TOKEN})"), F.lit(1))
+
+    def cased(token: Column, new: Column) -> Column:
+        each = F.array_join(F.zip_with(F.split(token, ""), F.split(new, ""), lambda t, n: F.when(F.upper(t) == t, F.upper(n)).otherwise(n)), "")
+        same = (F.length(token) == F.length(new)) & (F.length(F.upper(new)) == F.length(new))
+        whole = F.when((F.upper(token) == token) & (F.length(token) > 1), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 1 << 20)))
+        return F.when(same, each).otherwise(whole)
+
+    gaps = F.split(rest, _TOKEN, -1)
+    name = F.array_join(F.zip_with(gaps, F.zip_with(tokens, subs, cased), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(kind == "phone", phone).when(kind == "card", poured).when(kind == "name", F.concat(title, name)).otherwise(sub)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """value, kind, surrogate of each distinct entity (column value).
 
-    Of entities that share a replacement the first keeps it; the others, and
-    those whose replacement is itself an entity, are tried again.  It fails
-    after ``TRIES`` attempts rather than return a collision.  What only looks like
-    a card number is of kind 'none' and stays.
+    What only looks like a card number is of kind 'none' and stays.  Entities that
+    name the same, in another spelling, have the same replacement in that spelling.
     """
     kinds = checkpoint(entities.select("value").distinct().withColumn("kind", kind_of(F.col("value"))))
-    done = checkpoint(kinds.where("kind = 'none'").withColumn("surrogate", F.col("value")))
-    todo = kinds.where("kind <> 'none'")
-    real = kinds.select(F.col("value").alias("surrogate"))
-    for attempt in range(TRIES):
-        tried = todo.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), F.lit(attempt), key))
-        first = tried.groupBy("surrogate").agg(F.min("value").alias("value"))
-        good = first.join(real, "surrogate", "left_anti")
-        good = good.join(done.select("surrogate"), "surrogate", "left_anti")
-        got = checkpoint(todo.join(good, "value"))
-        done = checkpoint(done.unionByName(got.select(done.columns)))
-        todo = checkpoint(todo.join(got.select("value"), "value", "left_anti"))
-        if todo.isEmpty():
-            return done
-    raise ValueError(f"{todo.count()} entities have no replacement of their own after {TRIES} attempts")
+    pieces = kinds.select("value", F.col("kind").alias("of"), F.posexplode(_parts(F.col("value"), F.col("kind"))).alias("at", "p")).select("value", "of", "at", "p.*")
+    pieces = checkpoint(pieces)
+    told = pieces.groupBy("kind", "part").agg(F.min("gender").alias("lo"), F.max("gender").alias("hi"))
+    parts = checkpoint(told.select("kind", "part", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("gender")))
+    subs = _part_surrogates(parts, key)
+    lists = pieces.select("value", "of", "at", "kind", "part").join(subs, ["kind", "part"]).groupBy("value", "of").agg(F.array_sort(F.collect_list(F.struct("at", "sub"))).alias("s"))
+    out = checkpoint(lists.select("value", F.col("of").alias("kind"), _rendered(F.col("value"), F.col("of"), F.col("s.sub")).alias("surrogate")))
+    release(pieces, parts)
+    return out
 
 
-def with_surrogates(docs: DataFrame, key: str = "passerine", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text (replaced), n_entities, n_email, n_phone, n_ip, n_card, n_name.
 
+    ``key`` is a secret of the caller: who has it can make the same replacements.
     A null text becomes empty; a null id stays null; repeated rows are replaced
     alike; other columns are not looked at; an empty table gives an empty result.
     """
@@ -143,7 +217,8 @@ def with_surrogates(docs: DataFrame, key: str = "passerine", id_col: str = "doc_
     entities = checkpoint(found.select(F.sha2("text", 256).alias("sha"), "found").dropDuplicates(["sha"]))
     flat = entities.select("sha", F.posexplode("found").alias("at", "value"))
     mapped = flat.join(surrogates(flat, key), "value")
-    lists = mapped.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("e"))
+    # written before the join, so that a text with many copies is split there
+    lists = checkpoint(mapped.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("e")))
     joined = rows.withColumn("sha", F.sha2("text", 256)).join(lists, "sha", "left")
     gaps = F.split("text", ENTITY, -1)
     new = F.array_join(F.zip_with(gaps, F.col("e.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
