@@ -5,11 +5,12 @@ import numpy as np
 from passerine.operators import inference
 
 
-def load():
-    return lambda chunks: np.stack([np.abs(chunks).mean(axis=1) * 4 - 2, chunks[:, 0] * 10, np.full(len(chunks), -9.0)], axis=1)
+def test_chunks_and_detections(spark):
+    def load():  # defined here, so that workers get it by value
+        import numpy as np
 
+        return lambda chunks: np.stack([np.abs(chunks).mean(axis=1) * 4 - 2, chunks[:, 0] * 10, np.full(len(chunks), -9.0)], axis=1)
 
-def test_chunks_and_detections(spark):
     audio = spark.createDataFrame([("a", [0.1] * 8 + [0.0] * 4 + [0.01] * 2), ("b", []), ("c", None)], "audio_id string, samples array<float>")
     scores = inference.chunk_scores(audio, "samples", 4, 1.0, load, "small")
     got = {(r["audio_id"], r["chunk"], r["label"]): r for r in scores.collect()}
