@@ -219,7 +219,8 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     mapped = flat.join(surrogates(flat, key), "value")
     # written before the join, so that a text with many copies is split there
     lists = checkpoint(mapped.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("e")))
-    joined = rows.withColumn("sha", F.sha2("text", 256)).join(lists, "sha", "left")
+    # always merged: a broadcast of few lists would make a small table's plan another one than a large table's
+    joined = rows.withColumn("sha", F.sha2("text", 256)).join(lists.hint("merge"), "sha", "left")
     gaps = F.split("text", ENTITY, -1)
     new = F.array_join(F.zip_with(gaps, F.col("e.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     count = lambda k: F.coalesce(F.size(F.filter("e", lambda x: x["kind"] == k)), F.lit(0)).cast("long")
