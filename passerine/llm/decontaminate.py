@@ -24,7 +24,8 @@ from .common import free_name, word_tokens
 
 WINDOW = 13
 SLICE_BYTES = 8 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of an original text: as in the contract, with the capitals that are lower-cased there.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 _built: dict[str, tuple[dict[bytes, int], object]] = {}
 

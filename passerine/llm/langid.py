@@ -188,3 +188,19 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     out = identify(docs, id_col, text_col, **names).where(~F.col("accepted")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     same = docs[id_col].eqNullSafe(out["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == out["__hash"])
     return docs.join(out, same, "left_anti")
+
+
+def page_text(html: Column) -> Column:
+    """What a page shows, about: no scripts, styles, comments and tags."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&[#A-Za-z0-9]+;", " ")
+
+
+def identify_pages(pages: DataFrame, model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``identify`` for raw pages: their text, the lang attribute of their markup, and the host and suffix of their address.
+
+    ``model`` comes from ``fit`` on other, labelled rows, so a page's declaration
+    is evidence that the text model has not seen.  A null page has no text.
+    """
+    rows = pages.select(F.col(id_col), page_text(F.col(html_col)).alias("text"), F.col(url_col).alias("address"), markup_language(F.col(html_col)).alias("lang"))
+    return identify(rows, id_col, "text", "address", model=model)

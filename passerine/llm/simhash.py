@@ -99,20 +99,41 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
+def agreement(n: int, both: np.ndarray, bits: list[int]) -> list[float]:
+    """For each bit of a group, the chance that two fingerprints agree in it, given that they agree in the bit it depends on most.
+
+    The counts of pairs of bits give the chance to agree in both of them; a group
+    is a tree of such pairs, the first bit its root.
+    """
+    p11 = both / max(n, 1)
+    p = np.diag(p11)
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    joint = p11**2 + p10**2 + p01**2 + (1 - p11 - p10 - p01) ** 2
+    alone = p * p + (1 - p) * (1 - p)
+    gain = joint / np.outer(alone, alone)
+    out, used = [float(np.clip(alone[bits[0]], 1e-9, 1 - 1e-9))], [bits[0]]
+    left = set(bits[1:])
+    while left:
+        b, on = max(((b, u) for b in sorted(left) for u in used), key=lambda x: gain[x])
+        out.append(float(np.clip(joint[b, on] / alone[on], 1e-9, 1 - 1e-9)))
+        used.append(b)
+        left.discard(b)
+    return out
+
+
 def allocate(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """(mask, threshold 0 or 1) of the partitions to probe, by dynamic programming.
+    """(mask, threshold 0 or 1) of the partitions to probe, by dynamic programming on estimated candidates.
 
-    The estimate takes the bits as independent: the chance that two fingerprints
-    agree in a partition, or differ in one bit of it.
+    The estimate is the chance that two fingerprints agree in a partition, or
+    differ in one bit of it, with the bits' dependence on each other.
     """
-    q = np.diag(both) / max(n, 1)
-    same = np.clip(q * q + (1 - q) * (1 - q), 1e-9, 1)
     best: tuple[float, list] = (np.inf, [])
     for parts in range((distance + 2) // 2, distance + 2):
         plans: dict[int, tuple[float, list]] = {0: (0.0, [])}
         for bits in group_bits(n, both, parts):
-            agree = float(np.prod(same[bits]))
-            one_off = agree * float(np.sum((1 - same[bits]) / same[bits]))
+            same = np.array(agreement(n, both, bits))
+            agree = float(np.prod(same))
+            one_off = agree * float(np.sum((1 - same) / same))
             costs = {
                 0: (0.0, []),
                 1: (n * 1.0 + VERIFY * n * n / 2 * agree, [(bits, 0)]),

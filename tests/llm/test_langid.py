@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from passerine.llm import langid
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -36,3 +38,12 @@ def test_every_label_has_a_model(spark):
             rows.append((len(rows), " ".join(rng.choices(words, k=80)), f"l{k:02}", "s"))
     out = langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == len(rows) and all(r["language"] == r["declared_language"] and r["accepted"] for r in out)
+
+
+def test_pages_are_named_by_text_markup_and_address(spark):
+    data = "/root/testdata/sf0.01"
+    model = langid.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    pages = spark.read.parquet(f"{data}/pages.parquet").where("html is not null and url is not null")
+    told = pages.select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("want")).where("want <> ''")
+    found = langid.identify_pages(pages, model).withColumnRenamed("doc_id", "page_id").join(told, "page_id")
+    assert found.agg(F.avg((F.col("language") == F.col("want")).cast("double"))).first()[0] >= 0.98

@@ -102,7 +102,15 @@ def test_simhash(docs, rows):
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     prints = {i: brute(t) for i, t, *_ in rows}
-    assert {i: int(r["fingerprint"], 16) for i, r in got(simhash.near_components(docs)).items()} == prints
+    out = got(simhash.near_components(docs))
+    assert {i: int(r["fingerprint"], 16) for i, r in out.items()} == prints
+    least = {i: i for i in prints}
+    while True:  # the smallest id reachable over links
+        new = {i: min(least[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3) for i in prints}
+        if new == least:
+            break
+        least = new
+    assert {i: r["component_id"] for i, r in out.items()} == least and len(set(least.values())) < len(least) - 3
 
 
 def test_simhash_links(spark, monkeypatch):
@@ -184,6 +192,51 @@ def test_licenses():
     assert licenses.license_row(None)[:4] == (0, 0, None, None)
 
 
+def test_license_chains():
+    """Matching statistics and chains against plain versions."""
+    rng = random.Random(7)
+    scanner = licenses.Scanner({"a": ("b c d e f g h", "x y b c d z"), "k": ("d e f b c d q r",)})
+    texts = [t.split() for t in ("b c d e f g h", "x y b c d z", "d e f b c d q r")]
+    number = {w: k for w, k in scanner.words.items()}
+    for _ in range(150):
+        w = rng.choices("b c d e f g h x y z q r n".split(), k=rng.randint(0, 25)) if rng.random() < 0.4 else []
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(texts)
+            a, b = sorted(rng.choices(range(len(t) + 1), k=2))
+            w += t[a:b] + rng.choices(["n", "b"], k=rng.randint(0, 2))
+        # the longest template string that ends at each word
+        inside = lambda x: any(t[i : i + len(x)] == x for t in texts + [p.split() for p in licenses.PHRASES] for i in range(len(t)))
+        want = [max(k for k in range(i + 2) if k == 0 or inside(w[i + 1 - k : i + 1])) for i in range(len(w))]
+        state = size = 0
+        for i, x in enumerate(w):
+            c = number.get(x.encode(), 0)
+            while state and c not in scanner.sam.next[state]:
+                state = scanner.sam.link[state]
+                size = scanner.sam.length[state]
+            if c in scanner.sam.next[state]:
+                state, size = scanner.sam.next[state][c], size + 1
+            else:
+                state = size = 0
+            assert size == want[i]
+        matches = [(i + 1 - want[i], want[i]) for i in range(len(w)) if want[i] >= licenses.LEAST_MATCH and (i + 1 == len(w) or want[i + 1] <= want[i])]
+        chains = {}  # template: covered, start, end, its last word
+        for start, n in matches:
+            for k, t in enumerate(texts):
+                for last in range(n - 1, len(t)):
+                    if t[last - n + 1 : last + 1] == w[start : start + n]:
+                        steps = [(c[0] + min(n, last - c[3], start + n - c[2]), c[1]) for c in chains.get(k, []) if start - c[2] <= licenses.GAP and min(n, last - c[3], start + n - c[2]) > 0]
+                        covered, first = max([(n, start), *steps], key=lambda x: x[0])
+                        chains.setdefault(k, []).append((covered, first, start + n, last))
+        best = {k: max(c[0] for c in v) / len(texts[k]) for k, v in chains.items()}
+        found = scanner.scan(" ".join(w))[2]
+        for label, of in (("a", (0, 1)), ("k", (2,))):
+            top = max((best.get(k, 0) for k in of), default=0)
+            assert abs(max((c[3] for c in found if c[0] == label), default=0) - (top if top >= licenses.LEAST_COVER else 0)) < 1e-9, w
+    notice = licenses.TEMPLATES["mit"][2].split()
+    assert licenses.license_row(" ".join(notice[:40] + ["permission is hereby"] + notice[40:]))[5:7] == ("mit", 1.0)
+    assert licenses.license_row(licenses.TEMPLATES["mit"][3])[5] == "mit"
+
+
 def test_secrets():
     rng = random.Random(3)
     parts = ["password", "API_key", "token", '"', "'", " ", ":", "=", "AKIA", "ABCD1234EFGH5678", "deadbeef0123", "é", "x", "secret", "-", "ghp_", "0123456789abcdef"]
