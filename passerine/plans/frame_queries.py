@@ -251,9 +251,9 @@ ft as (select rec, span as dur, repetition_rate as repRate, mean_duration as syl
 _NAMES = ("dur", "repRate", "syllDur", "gap", "aciPerSec", "centroid", "centroidRange", "bandwidth", "flatness", "entropy", "flux", "zcr", "voicedFrac", "pitchRange")
 
 
-@query(f"with {_FEATURES} select rec, {', '.join(f'round({c}, 4) as {c}' for c in _NAMES)} from ft")
+@query(f"with {_FEATURES} select rec, {', '.join(f'round({c}, 7) as {c}' for c in _NAMES)} from ft")
 def summary_features(spark, d):
-    return _rounded(fr.summary_features(_frames(spark, d), HZ, BINS, HOP), 4, "rec")
+    return _rounded(fr.summary_features(_frames(spark, d), HZ, BINS, HOP), 7, "rec")
 
 
 #: What the features are called.
