@@ -17,9 +17,9 @@ HEAD = "audio_id,model,common_name,confidence,start_time,end_time"
 def logs(tmp_path_factory):
     top = tmp_path_factory.mktemp("logs")
     for folder, name, text in (
-        ("a/Output", "2.csv", f'﻿{HEAD}\r\nr1,BirdNET,"Tit, great",0.9,0,3\r\nr1, birdnet ,"He said ""hi""\nthere",0.9,0,3\r\n'),
-        ("b/output", "1.csv", f"{HEAD}\nr1,BIRDNET,Wren,0.7,3,6\nr2,other,Wren,0.99,0,3\nr2,birdnet,Wren,NaN,0,3\nr2,birdnet,Wren,,0,3\nlonely\nr2,birdnet,Wren\nr2,birdnet,Robin,0.5,0,3\n\nr3,birdnet,Owl,0.51,9,12\n"),
-        ("b/else", "3.csv", f"{HEAD}\nr9,birdnet,Crow,0.9,0,3\n"),
+        ("a/Output", "2.csv", f'﻿{HEAD}\r\nr1,WingNet,"Tit, great",0.9,0,3\r\nr1, wingnet ,"He said ""hi""\nthere",0.9,0,3\r\n'),
+        ("b/output", "1.csv", f"{HEAD}\nr1,WINGNET,Wren,0.7,3,6\nr2,other,Wren,0.99,0,3\nr2,wingnet,Wren,NaN,0,3\nr2,wingnet,Wren,,0,3\nlonely\nr2,wingnet,Wren\nr2,wingnet,Robin,0.5,0,3\n\nr3,wingnet,Owl,0.51,9,12\n"),
+        ("b/else", "3.csv", f"{HEAD}\nr9,wingnet,Crow,0.9,0,3\n"),
     ):
         (top / folder).mkdir(parents=True, exist_ok=True)
         (top / folder / name).write_text(text, newline="")
@@ -29,13 +29,13 @@ def logs(tmp_path_factory):
 def test_csv(spark, logs):
     rows = files.read_csv(spark, str(logs), recursive=True, folder="output").collect()
     got = sorted((r["audio_id"], r["model"], r["common_name"], r["confidence"]) for r in rows)
-    assert ("r1", "BirdNET", "Tit, great", "0.9") in got and ("r1", " birdnet ", 'He said "hi"\nthere', "0.9") in got
-    assert ("r2", "birdnet", "Wren", "") in got and not any(r[0] in ("lonely", "r9") for r in got) and len(got) == 9
+    assert ("r1", "WingNet", "Tit, great", "0.9") in got and ("r1", " wingnet ", 'He said "hi"\nthere', "0.9") in got
+    assert ("r2", "wingnet", "Wren", "") in got and not any(r[0] in ("lonely", "r9") for r in got) and len(got) == 9
 
 
 def test_manifest(spark, logs, tmp_path):
     rows = files.read_csv(spark, str(logs), recursive=True, folder="output")
-    m = files.manifest(rows, "birdnet", ["audio_id", "start_time", "end_time"], ["source_csv", "source_row"])
+    m = files.manifest(rows, "wingnet", ["audio_id", "start_time", "end_time"], ["source_csv", "source_row"])
     best = {(r["audio_id"], r["start_time"]): r["common_name"] for r in m.collect()}
     assert best == {("r1", "0"): "Tit, great", ("r1", "3"): "Wren", ("r3", "9"): "Owl"}
     paths = spark.createDataFrame([("x/r1.wav",), ("y/r1.WAV",), ("z\\r3.wav",)], "path string")
@@ -45,7 +45,7 @@ def test_manifest(spark, logs, tmp_path):
     files.write_csv(m, out, ["audio_id", "common_name", "confidence"], [F.col("audio_id"), F.col("start_time")])
     again = files.read_csv(spark, out).orderBy("source_row").collect()
     assert [(r["audio_id"], r["common_name"]) for r in again] == [("r1", "Tit, great"), ("r1", "Wren"), ("r3", "Owl")]
-    seen, watch = files.counted(rows, rows=F.count(F.lit(1)), eligible=F.count_if(files.eligible("birdnet")))
+    seen, watch = files.counted(rows, rows=F.count(F.lit(1)), eligible=F.count_if(files.eligible("wingnet")))
     seen.write.format("noop").mode("overwrite").save()
     assert watch.get == {"rows": 9, "eligible": 4}
 
