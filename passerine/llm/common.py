@@ -22,6 +22,12 @@ def word_tokens(data: bytes) -> list[bytes]:
     return data.translate(WORD_BYTES).split()
 
 
+def new_path(spark) -> str:
+    """A folder that is not there yet, in the shared folder that the session names."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder}/passerine-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a compressed table in the shared folder that the session names.
 
@@ -32,8 +38,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     Without a named folder the tables lie beside the session's own, in the warehouse.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/passerine-{uuid.uuid4().hex}"
+    path = new_path(spark)
     spark.conf.set(_CLEAN, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)

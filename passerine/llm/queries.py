@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import byte_dedup, decontaminate, exact_dedup, langid, licenses, mixing, pii, secret_scan, simhash, substring_dedup
-from .common import table
+from . import alignment, byte_dedup, decontaminate, exact_dedup, hard_negatives, langid, licenses, mixing, pii, secret_scan, sharding, simhash, substring_dedup
+from .common import new_path, table
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -51,6 +51,25 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared_language", "host", "accepted")
 
 
+def op11_sharding(spark, sf_dir: str) -> DataFrame:
+    """Law ``rows``; null texts count as empty, so their checksum is 0."""
+    written = sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark), 24)
+    text = F.coalesce("text", F.lit(""))
+    return written.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_alignment(spark, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), whole=False)[0].withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = ~F.coalesce(F.exists("embedding", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))), F.lit(False))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return hard_negatives.mine(rows.where(finite).select("vec_id", label.alias("label"), vector.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 def licenses_base(spark, sf_dir: str) -> DataFrame:
     """The columns of op2 that SQL can express."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -144,5 +163,16 @@ select doc_id, size, n as source_size, target, cast(case when n > 0 then budget
 """
 
 
+_OP13 = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+n as (select p.a, p.b, p.score as positive, s.b as id, s.score, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+  from p join s on p.a = s.a and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select a as anchor_id, b as positive_id, cast(rank as int) as rank, id as negative_id, positive as positive_score, score as negative_score from n where rank <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": _OP1, "licenses_base": _OP2, "op3_byte_dedup": _OP3, "op4_decontamination": _OP4, "secrets_base": _OP6, "op8_substring_dedup": _OP8, "op9_mixing": _OP9}
+    return {"op13_hard_negatives": _OP13, "op1_exact_dedup": _OP1, "licenses_base": _OP2, "op3_byte_dedup": _OP3, "op4_decontamination": _OP4, "secrets_base": _OP6, "op8_substring_dedup": _OP8, "op9_mixing": _OP9}
