@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _built: dict[str, tuple[dict[bytes, int], object]] = {}
 
 
-def _automaton(key: str, items: list[tuple[str, bytes]]) -> tuple[dict[bytes, int], object]:
+def _automaton(key: str, items: list[tuple[str | None, bytes]]) -> tuple[dict[bytes, int], object]:
     """Word numbers and the automaton of a slice; built once in each Python worker."""
     if key not in _built:
         import ahocorasick
@@ -40,7 +40,7 @@ def _automaton(key: str, items: list[tuple[str, bytes]]) -> tuple[dict[bytes, in
         for item, text in items:
             ids = [words.setdefault(w, len(words) + 1) for w in word_tokens(text)]
             for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                patterns.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
+                patterns.setdefault(tuple(ids[i : i + WINDOW]), set()).update(() if item is None else (item,))
         found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for pattern, of in patterns.items():
             found.add_word(pattern, (len(pattern), tuple(of)))
@@ -57,7 +57,7 @@ def _covered(matches: list[tuple[int, int]]) -> list[int]:
     return sorted(words)
 
 
-def _scan(key: str, items: list[tuple[str, bytes]], text_name: str, names: dict[str, str]):
+def _scan(key: str, items: list[tuple[str | None, bytes]], text_name: str, names: dict[str, str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, automaton = _automaton(key, items)
         get = numbers.get
@@ -85,7 +85,7 @@ def _scan(key: str, items: list[tuple[str, bytes]], text_name: str, names: dict[
     return scan
 
 
-def _slices(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+def _slices(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items, a bounded slice at a time; the driver holds one partition of items at most."""
     now, size = [], 0
     for item, text in items.toLocalIterator():
@@ -93,7 +93,7 @@ def _slices(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
         if now and size + len(data) > SLICE_BYTES:
             yield now
             now, size = [], 0
-        now.append((str(item), data))
+        now.append((None if item is None else str(item), data))
         size += len(data)
     yield now
 
@@ -103,14 +103,15 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
 
     words: how many; hits: positions of hit words; items: names of items that
     occur; spans: code-point offsets of the hit words in the original text, runs
-    joined.  A null text has no words; an item without words, or with a null id,
-    hits nothing.  Items that share an id count once.
+    joined.  A null text has no words; an item without words hits nothing.  The
+    windows of an item without an id hit like all others, but it has no name to be
+    listed by.  Items that share an id count once.  A very long text is scanned whole.
     """
     kinds = {"words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:long,end:long>>")}
     names = {k: free_name(docs, f"_{k}") for k in kinds}
     text = free_name(docs, "_text")
     out = docs.withColumns({text: F.coalesce(F.col(text_col), F.lit("")), **{names[k]: c for k, c in kinds.items()}})
-    for items in _slices(benchmark.where(F.col(item_col).isNotNull()).select(item_col, item_text)):
+    for items in _slices(benchmark.select(item_col, item_text)):
         key = hashlib.sha256(repr(items).encode()).hexdigest()
         out = out.mapInArrow(_scan(key, items, text, names), out.schema)
     return out.drop(text), names

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, with_row_number
 
 #: Hashed trigrams that the model tells apart.
 BINS = 1 << 14
@@ -184,10 +184,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ad
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The documents whose language is found, with their columns."""
-    out = identify(docs, id_col, text_col, **names).where(~F.col("accepted")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = docs[id_col].eqNullSafe(out["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == out["__hash"])
-    return docs.join(out, same, "left_anti")
+    """The documents whose language is found, with their columns.
+
+    Rows are told apart by a number of their own, so of rows with one id and one
+    text each is judged by its own declaration and address.  Null and empty texts
+    go; a very long text is scored whole.
+    """
+    rows, number = with_row_number(docs)
+    rejected = identify(rows, number, text_col, **names).where(~F.col("accepted")).select(F.col("doc_id").alias(number))
+    return rows.join(rejected, number, "left_anti").select(*docs.columns)
 
 
 def page_text(html: Column) -> Column:

@@ -123,13 +123,13 @@ select doc_id, length(h) // 2 as n_bytes, cast(coalesce(gone, 0) as bigint) as n
 
 _OP4 = f"""
 with d as (select doc_id, {_TOKENS} as w from documents),
-i as (select cast(item_id as varchar) as item, {_TOKENS} as w from benchmark where item_id is not null),
+i as (select cast(item_id as varchar) as item, {_TOKENS} as w from benchmark),
 q as (select item, w, least(len(w), 13) as n from i where len(w) > 0),
 p as (select distinct item, n, unnest({_SLICES}) as win from q),
 x as (select doc_id, n, unnest({_SLICES}) as win, unnest(range(len(w) - n + 1)) as pos from d, (select distinct n from p) where len(w) >= n),
 m as (select doc_id, pos, n, item from x join p using (n, win)),
 h as (select doc_id, count(*) as c from (select distinct doc_id, unnest(range(pos, pos + n)) as k from (select distinct doc_id, pos, n from m)) group by 1),
-g as (select doc_id, count(*) as k, sha256(string_agg(item, ',' order by item)) as s from (select distinct doc_id, item from m) group by 1)
+g as (select doc_id, count(*) as k, sha256(string_agg(item, ',' order by item)) as s from (select distinct doc_id, item from m where item is not null) group by 1)
 select doc_id, len(w) as n_words, coalesce(c, 0) as n_hit, coalesce(k, 0) as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(c, 0) > 0 and 20 * coalesce(c, 0) >= len(w) as contaminated
 from d left join h using (doc_id) left join g using (doc_id)
 """
