@@ -10,26 +10,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import half_up, top_labels
-from .vectors import _pairs, block_pairs, nearest, squared_distance
+from ..sources.storage import written
+from . import metric_index
+from .vectors import squared_distance
 
-#: Up to so many dimensions all their products are added up; beyond, components come from subspace iteration.
-DENSE, ROUNDS, MORE = 512, 30, 8
+#: Up to so many dimensions all their products are added up; beyond, components come from a random range.
+DENSE = 512
+#: Passes for one width of the range at most, columns beyond those asked for, change of a share that ends it, merging tasks.
+ROUNDS, MORE, SETTLED, MERGES = 30, 8, 1e-10, 8
+
+
+def _merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and sums of squared deviations of several parts together."""
+    n, mean, squares = parts[0]
+    for m, other, more in parts[1:]:
+        apart, whole = other - mean, n + m
+        mean, squares, n = mean + apart * (m / whole), squares + more + apart * apart * (n * m / whole), whole
+    return n, mean, squares
+
+
+def _part(n: int, mean: np.ndarray, squares: np.ndarray) -> pa.RecordBatch:
+    wide = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean], wide), pa.array([squares], wide)], names=["n", "m", "s"])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = None
+    for batch in batches:
+        if batch.num_rows:
+            x = metric_index.stack(batch.column(0))
+            mean = x.mean(axis=0)
+            own = (len(x), mean, ((x - mean) ** 2).sum(axis=0))
+            found = own if found is None else _merged([found, own])
+    if found is not None:
+        yield _part(*found)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(r["n"], np.array(r["m"]), np.array(r["s"])) for batch in batches for r in batch.to_pylist()]
+    if parts:
+        yield _part(*_merged(parts))
 
 
 def moments(df: DataFrame, vec_col: str, dims: int) -> tuple[list[float], list[float]]:
-    """Mean and population deviation of each dimension (a deviation of 0 counts as 1), in one aggregation."""
-    if not dims:
-        return [], []
-    cells = [F.get(vec_col, F.lit(i)) for i in range(dims)]
-    row = df.agg(F.array(*[F.avg(c) for c in cells]).alias("m"), F.array(*[F.stddev_pop(c) for c in cells]).alias("s")).first()
-    return [x or 0.0 for x in row["m"]], [x or 1.0 for x in row["s"]]
+    """Mean and population deviation of each dimension (a deviation of 0 counts as 1); null vectors don't count.
+
+    Each task adds up its vectors, ``MERGES`` tasks merge what they send, and the
+    driver merges those: the plan is as small for 15,000 dimensions as for three.
+    """
+    kind = "n long, m array<double>, s array<double>"
+    parts = df.select(vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(_partial, kind).repartition(MERGES).mapInArrow(_merge, kind).collect()
+    if not dims or not parts:
+        return [0.0] * dims, [1.0] * dims
+    n, mean, squares = _merged([(r["n"], np.array(r["m"]), np.array(r["s"])) for r in parts])
+    return mean.tolist(), [float(x) or 1.0 for x in np.sqrt(squares / n)]
+
+
+def _mapped(df: DataFrame, vec_col: str, change) -> DataFrame:
+    """``df`` with each vector replaced by a row of ``change(matrix)``; null vectors stay null."""
+    at, names = df.columns.index(vec_col), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            some = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            out = np.full(len(column), None, object)
+            if len(some):
+                for k, row in zip(some.tolist(), change(metric_index.stack(column.take(pa.array(some)))), strict=True):
+                    out[k] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.list_(pa.float64())), *batch.columns[at + 1 :]], names=names)
+
+    kinds = dict(df.dtypes) | {vec_col: "array<double>"}
+    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def standardised(df: DataFrame, vec_col: str, dims: int) -> DataFrame:
     mean, deviation = moments(df, vec_col, dims)
+    if dims > DENSE:
+        m, s = np.array(mean), np.array(deviation)
+        return _mapped(df, vec_col, lambda x: (x - m) / s)
     at = lambda values: F.array(*[F.lit(x) for x in values])
     centred = F.zip_with(vec_col, at(mean), lambda x, m: x - m)
     return df.withColumn(vec_col, F.zip_with(centred, at(deviation), lambda x, s: x / s))
@@ -39,44 +101,69 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
         if batch.num_rows:
-            x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
+            x = metric_index.stack(batch.column(0))
             total = x.T @ x if total is None else total + x.T @ x
     if total is not None:
         i, j = np.divmod(np.arange(total.size), len(total))
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "x"])
 
 
-def _subspace(rows: DataFrame, vec_col: str, dims: int, components: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Largest squared singular values of the rows, their directions, and the sum of all, by subspace iteration.
+def _range(rows: DataFrame, vec_col: str, basis: np.ndarray) -> np.ndarray:
+    """X^T (X V) of all rows X: one pass; tasks send dims x width sums, ``MERGES`` tasks add them up."""
+    shape = basis.shape
+    wide = pa.list_(pa.float64())
 
-    A round is one pass that sends back dims x width sums; the products of all
-    dimensions with each other are never formed.
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, some = np.zeros(shape), False
+        for batch in batches:
+            if batch.num_rows:
+                x = metric_index.stack(batch.column(0))
+                out, some = out + x.T @ (x @ basis), True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], wide)], names=["x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, some = np.zeros(shape[0] * shape[1]), False
+        for batch in batches:
+            for row in batch.column(0):
+                out, some = out + row.values.to_numpy(), True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([out], wide)], names=["x"])
+
+    sums = rows.select(vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(one, "x array<double>").repartition(MERGES).mapInArrow(add, "x array<double>").toArrow().column("x")
+    return sum((row.values.to_numpy() for row in sums), np.zeros(shape[0] * shape[1])).reshape(shape)
+
+
+def _subspace(rows: DataFrame, vec_col: str, dims: int, components: int | None, target: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Largest squared singular values of the rows, their directions, and the sum of all, by a randomised range.
+
+    A seeded random basis goes through passes of X^T X, each made orthogonal, until
+    the values asked for change by less than ``SETTLED``.  Without a number of
+    components the basis doubles until it explains the target, so no number is a cap;
+    products of all dimensions with each other are never formed.
     """
-    width = min(dims, min(components, 120) + MORE)
-    basis = np.linalg.qr(np.sin(np.outer(np.arange(1, dims + 1), np.arange(1, width + 1))))[0]
-
-    def passed(v: np.ndarray) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(v.shape)
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    out += x.T @ (x @ v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(list(out), pa.list_(pa.float64()))], names=["i", "x"])
-
-        cells = rows.select(vec_col).mapInArrow(run, "i long, x array<double>").select("i", F.posexplode("x").alias("j", "x"))
-        out = np.zeros(v.shape)
-        for i, j, x in cells.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
-            out[i, j] = x
-        return out
-
-    for _ in range(ROUNDS):
-        basis = np.linalg.qr(passed(basis))[0]
-    small = basis.T @ passed(basis)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
     squares = F.aggregate(vec_col, F.lit(0.0), lambda s, x: s + x * x)
-    whole = rows.agg(F.sum(squares)).first()[0] or 0.0
-    return np.maximum(values[::-1], 0), basis @ turn[:, ::-1], whole
+    facts = rows.where(F.col(vec_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.sum(squares).alias("s")).first()
+    whole, most = facts["s"] or 0.0, max(1, min(dims, facts["n"]))
+    width = min(most, (components or 24) + MORE)
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(dims, width)))[0]
+    while True:
+        before = None
+        for _ in range(ROUNDS):
+            passed = _range(rows, vec_col, basis)
+            small = basis.T @ passed
+            values, turn = np.linalg.eigh((small + small.T) / 2)
+            values = np.maximum(values[::-1], 0)
+            k = components or int(np.searchsorted(np.cumsum(values) / (whole or 1.0), target) + 1)
+            kept = values[: min(k, width)]
+            if width == dims or before is not None and len(before) == len(kept) and np.all(np.abs(kept - before) <= SETTLED * (whole or 1.0)):
+                break
+            before, basis = kept, np.linalg.qr(passed)[0]
+        if components or k <= max(width - MORE, 1) or width == most:
+            return values, basis @ turn[:, ::-1], whole
+        more = min(most, 2 * width) - width
+        fresh = np.random.default_rng(width).normal(size=(dims, more))
+        basis, width = np.linalg.qr(np.concatenate([basis, fresh], axis=1))[0], width + more
 
 
 def principal_components(df: DataFrame, vec_col: str, dims: int, components: int | None = None, target: float = 0.95) -> tuple[DataFrame, list[float], np.ndarray]:
@@ -88,7 +175,7 @@ def principal_components(df: DataFrame, vec_col: str, dims: int, components: int
     """
     rows = standardised(df, vec_col, dims)
     if dims > DENSE:
-        values, vectors, whole = _subspace(rows, vec_col, dims, components or dims)
+        values, vectors, whole = _subspace(rows, vec_col, dims, components, target)
     else:
         cells = rows.select(vec_col).mapInArrow(_products, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
         gram = np.zeros((dims, dims))
@@ -102,6 +189,8 @@ def principal_components(df: DataFrame, vec_col: str, dims: int, components: int
     k = min(k, dims, len(share))
     sines = np.sin(np.outer(np.arange(1, dims + 1), np.arange(1, k + 1)))
     loadings = vectors[:, :k] * np.where((vectors[:, :k] * sines).sum(axis=0) < 0, -1.0, 1.0)
+    if dims > DENSE:
+        return _mapped(rows, vec_col, lambda x: x @ loadings), [float(x) for x in share[:k]], loadings
     dot = lambda c: F.aggregate(F.zip_with(vec_col, F.array(*[F.lit(float(x)) for x in loadings[:, c]]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return rows.withColumn(vec_col, F.array(*[dot(c) for c in range(k)])), [float(x) for x in share[:k]], loadings
 
@@ -109,34 +198,22 @@ def principal_components(df: DataFrame, vec_col: str, dims: int, components: int
 def trustworthiness(df: DataFrame, id_col: str, original: Column, embedded: Column, k: int = 5) -> DataFrame:
     """trustworthiness: one row; 1 less the scaled ranks by which embedded neighbours are not original ones.
 
-    The k embedded neighbours of each point are found block by block.  A block
-    of points then meets every block of the table with its k marks, the distances
-    of those neighbours in the original space, and counts how many points are as
-    near: k numbers for each point and block, which are added up.  Ties go by id.
+    The k embedded neighbours of each point come from a metric index of the embedded
+    vectors; how many points are as near in the original space is counted on an
+    index of those, where whole rings are counted by their size.  Ties go by id.
+    Points with a null vector in either space take no part.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("i"), original.alias("v"), embedded.alias("w"))
-    near = nearest(rows, rows, "i", "w", k).select(F.col("q_id").alias("i"), F.col("i").alias("j"))
+    rows = df.select(F.col(id_col).cast("long").alias("i"), original.alias("v"), embedded.alias("w")).where("v is not null and w is not null")
+    near = metric_index.nearest(metric_index.build(rows, "i", "w"), rows, "i", "w", k).select(F.col("q_id").alias("i"), F.col("id").alias("j"))
     ends = rows.select(F.col("i").alias("j"), F.col("v").alias("v2"))
     marks = near.join(ends, "j").join(rows.select("i", "v"), "i").groupBy("i").agg(
         F.array_sort(F.collect_list(F.struct(F.round(squared_distance(F.col("v"), F.col("v2")), 9).alias("d"), "j"))).alias("m")
     )
-    marked = rows.select("i", "v").join(marks, "i").select("i", "v", F.col("m.d").alias("d"), F.col("m.j").alias("j"))
-
-    def step(q: pa.StructArray, base: pa.StructArray) -> pa.RecordBatch:
-        apart, at, qi = np.round(_pairs(q, base, "v"), 9), base.field("i").to_numpy(), q.field("i").to_numpy()
-        own = qi[:, None] == at[None, :]
-        late = np.zeros((len(qi), k), np.int64)
-        for row, (d, j) in enumerate(zip(q.field("d").to_pylist(), q.field("j").to_pylist(), strict=True)):
-            for c, (x, y) in enumerate(zip(d, j, strict=True)):
-                late[row, c] = np.count_nonzero(((apart[row] < x) | ((apart[row] == x) & (at <= y))) & ~own[row])
-        return pa.RecordBatch.from_arrays([pa.array(qi), *[pa.array(late[:, c]) for c in range(k)]], names=["i", *[f"r{c}" for c in range(k)]])
-
-    schema = "i long, " + ", ".join(f"r{c} long" for c in range(k))
-    counts = block_pairs(marked, rows.select("i", "v"), "i", ["v", "d", "j"], ["v"], step, schema)
-    ranks = counts.groupBy("i").agg(*[F.sum(f"r{c}").alias(f"r{c}") for c in range(k)])
+    marked = written(rows.select("i", "v").join(marks, "i").select("i", "v", F.col("m.d").alias("d"), F.col("m.j").alias("j")))
+    ranks = metric_index.ranks(metric_index.build(rows, "i", "v"), marked, k)
     late = sum((F.greatest(F.col(f"r{c}") - k, F.lit(0)) for c in range(k)), F.lit(0))
     n = F.count(F.lit(1))
-    return ranks.agg((1 - F.lit(2.0) / (n * k * (2 * n - 3 * k - 1)) * F.sum(late)).alias("trustworthiness"))
+    return ranks.agg((1 - F.try_divide(F.lit(2.0), n * k * (2 * n - 3 * k - 1)) * F.sum(late)).alias("trustworthiness"))
 
 
 def _scored(df: DataFrame, features: list[str], weights: dict[str, dict[str, float]]) -> tuple[dict[str, Column], list[Column]]:

@@ -2,78 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import total
+from . import metric_index
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Vectors of a block: what is compared with each other block in one step.
-QUERIES, BASE = 512, 2048
-
-
-def blocks(df: DataFrame, id_col: str, size: int, rows: int, *columns: str) -> DataFrame:
-    """b (a number from 0), and lists of about ``size`` ids and columns: rows packed by a hash of their id."""
-    n = max(1, -(-rows // size))
-    keyed = df.withColumn("b", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
-    return keyed.groupBy("b").agg(F.collect_list(F.struct(id_col, *columns)).alias("rows"))
-
-
-def _pairs(q: pa.StructArray, b: pa.StructArray, vec_col: str) -> np.ndarray:
-    """Squared distances of all vectors of two blocks, dimension by dimension as in a running sum."""
-    wide = lambda s: np.stack(s.field(vec_col).to_numpy(zero_copy_only=False)).astype(np.float64)
-    x, y = wide(q), wide(b)
-    out = np.zeros((len(x), len(y)))
-    for k in range(x.shape[1]):
-        out += (x[:, k, None] - y[None, :, k]) ** 2
-    return out
-
-
-def block_pairs(queries: DataFrame, base: DataFrame, id_col: str, query_cols: list[str], base_cols: list[str], step, schema: str) -> DataFrame:
-    """``step(query block, base block)`` for every pair of blocks of a query set and a table.
-
-    Each base block travels once for each query block; nothing is broadcast.
-    """
-    n_q, n_b = queries.count(), base.count()
-    q = blocks(queries, id_col, QUERIES, n_q, *query_cols).select(F.col("b").alias("qb"), F.col("rows").alias("q"))
-    ids = F.sequence(F.lit(0), F.lit(max(1, -(-n_q // QUERIES)) - 1))
-    b = blocks(base, id_col, BASE, n_b, *base_cols).select("b", F.explode(ids).alias("qb"), F.col("rows").alias("r"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield step(*[batch.column(c).slice(i, 1).flatten() for c in ("q", "r")])
-
-    dealt = b.hint("shuffle_hash").join(q, "qb").select("q", "r").repartition(max(1, min(n_q // QUERIES + 1, 64)) * max(1, min(n_b // BASE + 1, 64)))
-    return dealt.mapInArrow(run, schema)
-
-
 def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """q_id, id, d2, nn_rank: k nearest rows of ``base`` for each query row, itself excluded, ties by id.
 
-    A stated query set against all rows, block by block; a pair of blocks gives k
-    rows for each query, which are merged.  Distances are rounded to 6 digits.
+    A metric index leaves out the blocks that hold no neighbour; the answer is exact.
+    Distances are rounded to 6 digits.  Rows with a null vector have no neighbours
+    and are nobody's.
     """
-    def step(q: pa.StructArray, b: pa.StructArray) -> pa.RecordBatch:
-        d, qi, bi = np.round(_pairs(q, b, vec_col), 6), q.field(id_col).to_numpy(), b.field(id_col).to_numpy()
-        d[qi[:, None] == bi[None, :]] = np.inf
-        order = np.argsort(bi, kind="stable")
-        best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-        rows = np.repeat(np.arange(len(qi)), best.shape[1])
-        near = d[rows, best.ravel()]
-        some = np.isfinite(near)
-        return pa.RecordBatch.from_arrays([pa.array(qi[rows][some]), pa.array(bi[best.ravel()][some]), pa.array(near[some])], names=["q_id", id_col, "d2"])
-
-    found = block_pairs(queries, base, id_col, [vec_col], [vec_col], step, f"q_id long, `{id_col}` long, d2 double")
-    w = W.partitionBy("q_id").orderBy("d2", id_col)
-    return found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+    index = metric_index.build(base, id_col, vec_col)
+    found = metric_index.nearest(index, queries, id_col, vec_col, k)
+    return found.select("q_id", F.col("id").alias(id_col), "d2", "nn_rank")
 
 
 def time_gap_edges(points: DataFrame, key: str, id_col: str, time: str, position: Column, gap: float, k: int) -> DataFrame:

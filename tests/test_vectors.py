@@ -54,3 +54,27 @@ def test_null_and_empty(spark):
 def test_pitch_class(spark):
     got = spark.createDataFrame([(440.0,), (880.0,), (466.16,), (415.3,)], "f double").select(signal.pitch_class(F.col("f"))).collect()
     assert [r[0] for r in got] == [0, 0, 1, 11]
+
+
+def test_components_of_many_dimensions(spark):
+    """15,677 dimensions: as many components as explain 95 %, and more than 128 if asked for."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 12)) @ rng.normal(size=(12, 15_677)) + rng.normal(size=(150, 15_677)) * 0.3
+    df = rows(spark, x)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    values = np.linalg.svd(z, compute_uv=False) ** 2
+    want = int(np.searchsorted(np.cumsum(values) / values.sum(), 0.95) + 1)
+    got, share, loadings = matrix.principal_components(df, "v", 15_677)
+    assert len(share) == want and np.allclose(share, (values / values.sum())[:want], atol=1e-8)
+    scores = np.array([r.v for r in got.orderBy("id").collect()])
+    assert np.allclose(scores, z @ loadings) and np.allclose((scores**2).sum(axis=0), values[:want], rtol=1e-5)
+    flat = rng.normal(size=(200, 600))
+    share = matrix.principal_components(rows(spark, flat), "v", 600, 140)[1]
+    exact = np.linalg.svd((flat - flat.mean(axis=0)) / flat.std(axis=0), compute_uv=False) ** 2
+    assert len(share) == 140 and np.allclose(share, (exact / exact.sum())[:140], rtol=1e-3)
+
+
+def test_standard_scores_with_null_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 5.0]), (1, None), (2, [3.0, 5.0])], SCHEMA)
+    assert [r.v for r in matrix.standardised(df, "v", 2).orderBy("id").collect()] == [[-1.0, 0.0], None, [1.0, 0.0]]
+    assert matrix.moments(df.where("id = 1"), "v", 2) == ([0.0, 0.0], [1.0, 1.0])
