@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -65,6 +67,25 @@ def evaluated_reduction(spark, d):
     return out.select("rows", "dims", *[F.round(c, 6).alias(c) for c in ("real", "control", "margin")], "passed")
 
 
+#: Rounds of the layouts in the queries.
+EPOCHS = 6
+
+
+def _evaluated(spark, d, method: str) -> DataFrame:
+    out = experiments.evaluate(_vectors(spark, d), "vec_id", "embedding", 64, SEED + 3, partial(experiments.REDUCERS[method], epochs=EPOCHS))
+    return out.select("rows", "dims", *[F.round(c, 3).alias(c) for c in ("real", "control")], (F.col("real") > 0.5).alias("better_than_chance"))
+
+
+@query()
+def evaluated_umap(spark, d):
+    return _evaluated(spark, d, "umap")
+
+
+@query()
+def evaluated_tsne(spark, d):
+    return _evaluated(spark, d, "tsne")
+
+
 @query()
 def shared_space(spark, d):
     placed = experiments.shared_space(_vectors(spark, d), "embedding", 64)

@@ -1,39 +1,65 @@
-"""Files as tables: detection logs, audio, documents, registries; and what is written beside them."""
+"""Files as tables: detection logs, documents, registries; and what is written beside them.  Audio is in ``audio``."""
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator, Sequence
+import csv
+import re
+import uuid
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from .audio import read_audio  # noqa: F401  (it belongs to this module's functions)
+
 #: A record that has one field or none.
 _ONE_FIELD = r'^\s*("([^"]|"")*"|[^,"]*)\s*$'
 
 
-def read_csv(spark: SparkSession, *paths: str, recursive: bool = False, folder: str | None = None) -> DataFrame:
-    """CSV files with one header, all columns text, with source_csv (path) and source_row (its order inside a file).
+def _headers(spark: SparkSession, paths: list[str], options: dict) -> list[tuple[list[str], list[str]]]:
+    """Column names and the files that have them, in this order; only the first lines of the files are read."""
+    first = spark.read.options(pathGlobFilter="*.csv", recursiveFileLookup=options["recursiveFileLookup"], wholetext=False).text(paths)
+    # a file's first line lies in the split that starts at its beginning
+    start = first.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("line")).where("at = 0")
+    heads = start.groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for head, files in heads:
+        names = next(csv.reader([head.lstrip("\ufeff")]), [])
+        found.setdefault(tuple(n.strip() for n in names), []).extend(files)
+    return sorted(((list(n), sorted(f)) for n, f in found.items() if n), key=lambda x: x[1])
+
 
-    Quoted fields may hold commas, line ends and doubled quotes; a byte order mark
-    is taken off; a missing cell is the empty text; records of one field or none
-    are dropped.  ``recursive`` looks into all folders below the paths; with
-    ``folder`` only files right inside a folder of that name, in any case, count.
+def read_csv(spark: SparkSession, *paths: str, recursive: bool = False, folder: str | None = None) -> DataFrame:
+    """CSV files, each with a header of its own, all columns text, with source_csv (path) and source_row (its order inside a file).
+
+    Every file's columns go by its own header, so files may have theirs in any
+    order; the table has the columns of all files, those of the first file first,
+    and a column that a file lacks is the empty text in its rows.  Quoted fields may
+    hold commas, line ends and doubled quotes (a header may not hold line ends); a
+    byte order mark is taken off; a missing cell is the empty text; records of one
+    field or none are dropped.  ``recursive`` looks into all folders below the paths;
+    with ``folder`` only files right inside a folder of that name, in any case, count.
     Files of equal names in several folders all count.
     """
-    options = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "encoding": "UTF-8", "recursiveFileLookup": recursive, "pathGlobFilter": "*.csv", "enforceSchema": True}
-    head = spark.read.options(**options).csv(list(paths))
-    names = [c.lstrip("\ufeff") for c in head.columns]
-    schema = ", ".join(f"`{c}` string" for c in [*names, "_bad"])
-    rows = spark.read.options(**options).schema(schema).option("columnNameOfCorruptRecord", "_bad").csv(list(paths))
-    path = F.col("_metadata.file_path")
+    options = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "encoding": "UTF-8", "enforceSchema": True}
+    kinds = _headers(spark, list(paths), {"recursiveFileLookup": recursive})
     if folder is not None:
-        rows = rows.where(path.rlike(f"(?i)/{folder}/[^/]+$"))
-    full = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names], "_bad", path.alias("source_csv"), F.monotonically_increasing_id().alias("source_row"))
-    return full.where(F.col("_bad").isNull() | ~F.col("_bad").rlike(_ONE_FIELD)).drop("_bad")
+        inside = re.compile(f"(?i)/{re.escape(folder)}/[^/]+$")
+        kinds = [(names, kept) for names, files in kinds if (kept := [f for f in files if inside.search(f)])]
+    columns = list(dict.fromkeys(n for names, _ in kinds for n in names))
+    out = None
+    for names, files in kinds:
+        # a name that comes twice in one header is known by its first place
+        given = [n if names.index(n) == k else f"_again{k}" for k, n in enumerate(names)]
+        schema = ", ".join(f"`{c}` string" for c in [*given, "_bad"])
+        rows = spark.read.options(**options).schema(schema).option("columnNameOfCorruptRecord", "_bad").csv(files)
+        cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in columns]
+        full = rows.select(*cells, "_bad", F.col("_metadata.file_path").alias("source_csv"), F.monotonically_increasing_id().alias("source_row"))
+        full = full.where(F.col("_bad").isNull() | ~F.col("_bad").rlike(_ONE_FIELD)).drop("_bad")
+        out = full if out is None else out.unionByName(full)
+    if out is None:
+        return spark.createDataFrame([], ", ".join([*(f"`{c}` string" for c in columns), "source_csv string, source_row long"]))
+    return out
 
 
 def file_paths(spark: SparkSession, path: str, pattern: str, test: Column | None = None) -> DataFrame:
@@ -73,9 +99,29 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[
     rows.select(*columns).coalesce(1).write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """Write a table unless it is there; a reader never sees half of it."""
-    df.write.mode("ignore").parquet(path)
+def write_once(df: DataFrame, path: str) -> bool:
+    """Write a table unless it is there whole; whether it was written.
+
+    The table is there if its folder has the ``_SUCCESS`` of a finished write.  It is
+    written beside and then renamed, so a reader never sees half of it; what a
+    crashed write has left is taken away.  Of two writers at once the first one wins.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where = hadoop(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = lambda: fs.exists(hadoop(path, "_SUCCESS"))
+    if done():
+        return False
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(beside)
+    if not done() and fs.exists(where):
+        fs.delete(where, True)
+    if not done() and fs.rename(hadoop(beside), where) and not fs.exists(hadoop(path, beside.rpartition("/")[2])):
+        return True
+    fs.delete(hadoop(beside), True)
+    fs.delete(hadoop(path, beside.rpartition("/")[2]), True)
+    return False
 
 
 def counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
@@ -111,63 +157,3 @@ def preferred(rows: DataFrame, tests: Sequence[Column], order: Sequence[str]) ->
         rank = F.when(test, F.lit(k)).otherwise(rank)
     ranked = rows.withColumn("_rank", rank).where(F.col("_rank") < len(tests))
     return ranked.orderBy("_rank", *order).limit(1).drop("_rank")
-
-
-def decode(content: bytes, rate: int, start: float = 0.0, samples: int | None = None) -> np.ndarray:
-    """Mono samples in [-1, 1] of a WAV file from ``start`` seconds on, at ``rate``; zeros beyond its end.
-
-    Channels are averaged; other rates are interpolated linearly.
-    """
-    with wave.open(io.BytesIO(content)) as f:
-        own, width, channels, frames = f.getframerate(), f.getsampwidth(), f.getnchannels(), f.getnframes()
-        first = min(frames, int(start * own))
-        f.setpos(first)
-        need = frames - first if samples is None else min(frames - first, -(-samples * own // rate) + 1)
-        raw = f.readframes(need)
-    if width == 3:
-        whole = np.zeros((len(raw) // 3, 4), np.uint8)
-        whole[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-        x = whole.view("<i4").ravel() / 2**31
-    elif width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
-    else:
-        x = np.frombuffer(raw, f"<i{width}") / float(2 ** (8 * width - 1))
-    x = x.reshape(-1, channels).mean(axis=1)
-    n = int(len(x) * rate / own + 1e-9) if samples is None else samples
-    if own != rate and len(x):
-        at = np.arange(min(n, int(len(x) * rate / own + 1e-9))) * (own / rate)
-        x = np.interp(at, np.arange(len(x)), x)
-    out = np.zeros(n, np.float32)
-    out[: min(n, len(x))] = x[:n]
-    return out
-
-
-def read_audio(spark: SparkSession, path: str, rate: int = 22050, windows: DataFrame | None = None, least: float = 1.0) -> DataFrame:
-    """audio_id and samples of WAV files: whole, or for each row of ``windows`` (audio_id, start, end) its part.
-
-    A window has the samples of its length, of ``least`` seconds at least, with
-    zeros beyond the end of the file, and keeps its columns.
-    """
-    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
-    name = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"\.[^.]*$", "")
-    audio = files_.select(name.alias("audio_id"), "path", "content")
-    last = audio.groupBy("audio_id").agg(F.max("path").alias("path"))
-    audio = audio.join(last, ["audio_id", "path"], "left_semi")
-    if windows is None:
-        rows, extra = audio.select("audio_id", F.lit(0.0).alias("start"), F.lit(None).cast("double").alias("end"), "content"), []
-    else:
-        extra = [c for c in windows.columns if c not in ("audio_id", "start", "end")]
-        rows = windows.join(audio, "audio_id").select("audio_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), *extra, "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                start, end = row.column(1)[0].as_py(), row.column(2)[0].as_py()
-                n = None if end is None else int(np.ceil(max(least, end - start) * rate))
-                x = decode(row.column(batch.num_columns - 1)[0].as_py(), rate, start, n)
-                yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([x], pa.list_(pa.float32()))], names=[*batch.schema.names[:-1], "samples"])
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.drop("content").dtypes)
-    out = rows.mapInArrow(run, f"{kinds}, samples array<float>")
-    return out.drop("start", "end") if windows is None else out
