@@ -4,30 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import scan
+
 
 def islands(df: DataFrame, key: str, order: str, start: str, active: Column, max_gap: int, least: int) -> DataFrame:
-    """Runs of active rows; inactive runs of at most max_gap rows are filled, a leading one too, a trailing one never."""
-    w = W.partitionBy(key).orderBy(start, order)
-    rows = df.withColumn("_at", F.row_number().over(w)).withColumn("_on", active)
-    on = rows.where("_on").withColumn("_gap", F.col("_at") - F.coalesce(F.lag("_at").over(w), F.lit(0)) - 1)
-    first = F.lag("_at").over(w).isNull()
-    on = on.withColumn("_new", (first | (F.col("_gap") > max_gap)).cast("int")).withColumn("island", F.sum("_new").over(w))
-    on = on.withColumn("_from", F.when(F.lag("_at").over(w).isNull() & (F.col("_gap") <= max_gap), F.lit(1)).otherwise(F.col("_at")))
-    out = on.groupBy(key, "island").agg(F.min("_from").alias("first_row"), F.max("_at").alias("last_row"))
+    """Runs of active rows; inactive runs of at most max_gap rows are filled, a leading one too, a trailing one never.
+
+    A segmented scan: rows of one key, however many, are spread over all tasks.
+    """
+    rows = scan.segmented(df.select(key, start, order, active.alias("_on")), start)
+    w = W.partitionBy(key, "_seg").orderBy(start, order)
+    rows = rows.withColumn("_r", F.row_number().over(w))
+    seen = rows.withColumn("_was", F.last(F.when(F.col("_on"), F.col("_r")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    inner = F.when(F.col("_on") & (F.col("_r") - F.col("_was") - 1 > max_gap), 1).otherwise(0)
+    local = seen.withColumn("_new", F.sum(inner).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    # one row a segment: what it has, then what comes before it, and whether its first active row begins a run
+    on = F.when(F.col("_on"), F.col("_r"))
+    parts = local.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("a"), F.max(on).alias("b"), F.max("_new").alias("m"))
+    v = W.partitionBy(key).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_rows", F.coalesce(F.sum("n").over(v), F.lit(0)))
+    parts = parts.withColumn("_last", F.last(F.col("_rows") + F.col("b"), ignorenulls=True).over(v))
+    gap = F.col("_rows") + F.col("a") - F.coalesce(F.col("_last"), F.lit(0)) - 1
+    parts = parts.withColumns({"_begins": F.when(F.col("a").isNotNull() & (F.col("_last").isNull() | (gap > max_gap)), 1).otherwise(0), "_first": F.col("_last").isNull() & (gap <= max_gap)})
+    parts = parts.withColumn("_runs", F.coalesce(F.sum(F.col("_begins") + F.col("m")).over(v), F.lit(0)) + F.col("_begins"))
+    found = scan.back(local.where("_on"), parts.select(key, "_seg", "_rows", "_runs", "_first"), [key, "_seg"])
+    at = F.col("_rows") + F.col("_r")
+    whole = found.select(key, (F.col("_runs") + F.col("_new")).cast("long").alias("island"), at.alias("_at"), F.when(F.col("_was").isNull() & F.col("_first"), F.lit(1)).otherwise(at).alias("_from"))
+    out = whole.groupBy(key, "island").agg(F.min("_from").cast("int").alias("first_row"), F.max("_at").cast("int").alias("last_row"))
     return out.where(F.col("last_row") - F.col("first_row") + 1 >= least)
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tie: str) -> DataFrame:
-    """Last value of ``right`` at or before each row of ``left``: a union and one window, no range join.
+    """Last value of ``right`` at or before each row of ``left``: a union and one segmented scan, no range join.
 
-    Of right rows at one time the one with the largest ``tie`` counts.
+    Of right rows at one time the one with the largest ``tie`` counts; a null value is passed over.
     """
     kinds = dict(right.dtypes)
     both = left.withColumns({"_side": F.lit(1), value: F.lit(None).cast(kinds[value]), "_tie": F.lit(None).cast(kinds[tie])}).unionByName(
         right.select(key, time, value, F.col(tie).alias("_tie")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    w = W.partitionBy(key).orderBy(time, "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_tie")
+    found = scan.last_value(scan.segmented(both, time), [key], [time, "_side", "_tie"], F.col(value), "_value", own=True)
+    return found.withColumn(value, F.col("_value")).where("_side = 1").drop("_side", "_tie", "_seg", "_value")
 
 
 def interpolated(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tie: str) -> DataFrame:
@@ -36,8 +53,9 @@ def interpolated(left: DataFrame, right: DataFrame, key: str, time: str, value:
     After the last point its value holds; before the first there is none.  Times
     are numbers; of points at one time that with the largest ``tie`` is the last.
     """
-    w = W.partitionBy(key).orderBy(time, tie)
-    points = right.select(key, time, tie, F.struct(F.col(time).alias("t"), F.col(value).alias("x"), F.lead(time).over(w).alias("t2"), F.lead(value).over(w).alias("x2")).alias("_p"))
+    here = right.select(key, time, tie, F.struct(F.col(time).alias("t"), F.col(value).alias("x")).alias("_h"))
+    points = scan.next_value(scan.segmented(here, time), [key], [time, tie], F.col("_h"), "_n")
+    points = points.select(key, time, tie, F.struct(F.col("_h.t").alias("t"), F.col("_h.x").alias("x"), F.col("_n.t").alias("t2"), F.col("_n.x").alias("x2")).alias("_p"))
     at = asof(left, points, key, time, "_p", tie)
     part = (F.col(time) - F.col("_p.t")) / F.greatest(F.col("_p.t2") - F.col("_p.t"), F.lit(1e-3))
     moved = F.col("_p.x") + (F.col("_p.x2") - F.col("_p.x")) * F.least(F.lit(1.0), part)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from passerine.functions import scalar
-from passerine.operators import experiments, frames, matrix, select, sequence, vectors
+from passerine.operators import experiments, frames, matrix, metric_index, select, sequence
 
 
 def test_interval_join_keeps_every_point(spark):
@@ -87,8 +87,8 @@ def _trust(o, e, k):
 
 
 def test_evaluation(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "QUERIES", 16)
-    monkeypatch.setattr(vectors, "BASE", 20)
+    for name, n in (("PER_PIVOT", 16), ("PER_RING", 8), ("BLOCK", 20)):
+        monkeypatch.setattr(metric_index, name, n)
     x = np.random.default_rng(5).normal(size=(50, 6)) @ np.random.default_rng(6).normal(size=(6, 6))
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>")
     z = (x - x.mean(axis=0)) / x.std(axis=0)
