@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalar
 from ..operators import experiments, matrix, select, signal
+from ..sources.tables import table
 from . import vector_queries  # noqa: F401  (its SQL is used here)
 from .queries import SQL, _vectors, query
 
@@ -42,29 +43,22 @@ def permutation_test(spark, d):
     return out.select("permutations", "at_least", F.round("p_value", 6).alias("p_value"), F.round("observed", 6).alias("observed"), F.round("mean_shuffled", 6).alias("mean_shuffled"))
 
 
-@query(f"""with recursive g(k, s) as (select 0, cast({SEED + 1} as bigint) union all select k + 1, (1664525 * s + 1013904223) % 4294967296 from g where k < 600),
+@query(f"""with recursive c as (select count(*) as n from supplier), g(k, s) as (select 0, cast({SEED + 1} as bigint) union all select k + 1, (1664525 * s + 1013904223) % 4294967296 from g, c where k < 6 * n),
 u as (select (k - 1) // 2 as e, max(case when k % 2 = 1 then greatest(s / 4294967296.0, 1e-12) end) as a, max(case when k % 2 = 0 then s / 4294967296.0 end) as b from g where k > 0 group by 1)
 select e // 3 as i, e % 3 as dim, round(sqrt(-2 * ln(a)) * cos(2 * pi() * b), 6) as x from u""")
 def random_control(spark, d):
-    c = experiments.random_control(spark, 100, 3, SEED + 1).select("i", F.posexplode("v").alias("dim", "x"))
+    """A control of as many rows as a table has."""
+    n = table(spark, d, "supplier").count()
+    c = experiments.random_control(spark, n, 3, SEED + 1).select("i", F.posexplode("v").alias("dim", "x"))
     return c.select("i", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-@query(f"""with recursive g(k, s) as (select 0, cast({SEED + 5} as bigint) union all select k + 1, (1664525 * s + 1013904223) % 4294967296 from g where k < 19),
-st(k, l) as (select 0, range(20) union all select st.k + 1, list_transform(range(20), lambda p: case when p = 19 - st.k then l[1 + cast(floor(g.s / 4294967296.0 * (20 - st.k)) as bigint)] when p = cast(floor(g.s / 4294967296.0 * (20 - st.k)) as bigint) then l[20 - st.k] else l[p + 1] end) from st join g on g.k = st.k + 1)
-select unnest(range(20)) as place, unnest(l) as value from st where k = 19""")
+@query(f"""with recursive c as (select count(*) as n from supplier), g(k, s) as (select 0, cast({SEED + 5} as bigint) union all select k + 1, (1664525 * s + 1013904223) % 4294967296 from g, c where k < n - 1),
+st(k, l) as (select 0, range(n) from c union all select st.k + 1, list_transform(range(n), lambda p: case when p = n - 1 - st.k then l[1 + cast(floor(g.s / 4294967296.0 * (n - st.k)) as bigint)] when p = cast(floor(g.s / 4294967296.0 * (n - st.k)) as bigint) then l[n - st.k] else l[p + 1] end) from st join g on g.k = st.k + 1, c),
+r as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as value from supplier)
+select s_suppkey, place from r join (select unnest(range(n)) as place, unnest(l) as value from st, c where k = n - 1) using (value)""")
 def shuffled(spark, d):
-    values = list(range(20))
-    for i, u in zip(range(19, 0, -1), experiments.draws(SEED + 5, 0, 19).tolist(), strict=True):
-        j = int(u * (i + 1))
-        values[i], values[j] = values[j], values[i]
-    return spark.createDataFrame(list(enumerate(values)), "place long, value long")
-
-
-@query()
-def evaluated_reduction(spark, d):
-    out = experiments.evaluate(_vectors(spark, d), "vec_id", "embedding", 64, SEED + 3)
-    return out.select("rows", "dims", *[F.round(c, 6).alias(c) for c in ("real", "control", "margin")], "passed")
+    return experiments.shuffled(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", SEED + 5)
 
 
 #: Rounds of the layouts in the queries.
