@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalar
-from ..operators import experiments, matrix, select, signal
+from ..operators import experiments, inference, matrix, select, signal
 from ..sources.tables import table
 from . import vector_queries  # noqa: F401  (its SQL is used here)
 from .queries import SQL, _vectors, query
@@ -134,3 +134,35 @@ def cosine_and_peak(spark, d):
     e = _vectors(spark, d).where("vec_id % 20 < 2")
     p = e.withColumn("w", F.lead("embedding").over(W.partitionBy(F.floor(F.col("vec_id") / 20)).orderBy("vec_id"))).where("vec_id % 20 = 0 and w is not null")
     return p.select("vec_id", F.round(scalar.cosine(F.col("embedding"), F.col("w")), 6).alias("cosine"), scalar.arg_max(F.col("embedding")).cast("long").alias("peak"))
+
+
+def _linear():
+    """A linear model of three labels over chunks of 16 samples, its weights from a rule."""
+    import numpy as np
+
+    weights = np.sin(np.outer(np.arange(1, 17), np.arange(1, 4)))
+    return lambda chunks: chunks @ weights - 2
+
+
+@query("""with c as (select vec_id, unnest(range(4)) as chunk, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings),
+p as (select vec_id, chunk, x[chunk * 16 + 1 : chunk * 16 + 16] as x, list_max(list_transform(x[chunk * 16 + 1 : chunk * 16 + 16], lambda v: abs(v))) as peak from c),
+l as (select *, unnest(range(3)) as label from p),
+s as (select vec_id, chunk, label, 1 / (1 + exp(2 - case when peak > 1e-6 then least(50, 0.9e0 / peak) else 1 end * list_sum(list_transform(range(1, 17), lambda i: x[i] * sin(i * (label + 1)))))) as s from l)
+select vec_id, chunk, chunk * 1.0e0 as start, label, round(s, 4) as confidence from s where s >= 0.03""")
+def model_scores(spark, d):
+    """A model as a table function: every chunk of every vector, taken as 64 samples."""
+    inference.register_model(spark, "passerine_linear", 16, 1.0, _linear, "linear")
+    _vectors(spark, d).select("vec_id", "embedding").createOrReplaceTempView("passerine_audio")
+    return spark.sql("select vec_id, chunk, start, label, round(confidence, 4) as confidence from passerine_audio, lateral passerine_linear(embedding)")
+
+
+@query("with s as (" + SQL["model_scores"].replace("round(s, 4) as confidence", "s as confidence") + """),
+b as (select vec_id, label, max(confidence) as confidence, arg_min(chunk, (-round(confidence, 4), chunk)) as chunk from s group by 1, 2)
+select vec_id, label, round(confidence, 4) as confidence, chunk * 1.0e0 as at, row_number() over (partition by vec_id order by round(confidence, 4) desc, label) as k from b qualify k <= 2""")
+def model_detections(spark, d):
+    """The two surest labels of each vector, from the same model in Arrow batches."""
+    audio = _vectors(spark, d).select(F.col("vec_id").alias("audio_id"), "embedding")
+    scores = inference.chunk_scores(audio, "embedding", 16, 1.0, _linear, "linear").withColumn("confidence", F.round("confidence", 4))
+    best = inference.detections(scores, 2)
+    w = W.partitionBy("audio_id").orderBy(F.desc("confidence"), "label")
+    return best.select(F.col("audio_id").cast("long").alias("vec_id"), "label", "confidence", "at", F.row_number().over(w).cast("long").alias("k"))

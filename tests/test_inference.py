@@ -21,3 +21,19 @@ def test_chunks_and_detections(spark):
     best = {(r["audio_id"], r["label"]): r for r in inference.detections(scores).collect()}
     assert best["a", 0]["at"] == 0.0 and best["a", 1]["at"] == 0.0
     assert all(r["rank"] <= 1 for r in inference.timeline(scores, 1).collect())
+
+
+def test_model_as_a_table_function(spark, monkeypatch):
+    """The same rows as in Arrow batches, also with null and empty recordings, a few chunks at a time."""
+    def load():
+        import numpy as np
+
+        return lambda chunks: np.stack([chunks.sum(axis=1), -chunks.sum(axis=1)], axis=1)
+
+    monkeypatch.setattr(inference, "AT_ONCE", 2)
+    audio = spark.createDataFrame([("a", [float(k % 5) / 10 for k in range(30)]), ("b", []), ("c", None)], "audio_id string, samples array<float>")
+    audio.createOrReplaceTempView("audio_rows")
+    inference.register_model(spark, "two_labels", 4, 1.0, load, "two", 0.1)
+    got = spark.sql("select audio_id, t.* from audio_rows, lateral two_labels(samples) t")
+    want = inference.chunk_scores(audio, "samples", 4, 1.0, load, "two", 0.1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("audio_id = 'a'").count() > 8
