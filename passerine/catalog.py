@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import event_queries, experiment_queries, frame_queries, vector_queries  # noqa: F401  (they register their queries)
+from .plans import cluster_queries, event_queries, experiment_queries, frame_queries, stream_queries, vector_queries  # noqa: F401  (they register their queries)
 from .plans.queries import QUERIES, SQL
 
 
