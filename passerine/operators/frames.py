@@ -211,17 +211,38 @@ def series(frames: DataFrame, hz: float, stride: int) -> DataFrame:
     return d.select("rec", (F.col("i") / stride).cast("long").alias("frame"), *[half_up(F.col(c), n).alias(c) for c, n in DIGITS.items()])
 
 
-def syllables(described_: DataFrame, hop: float) -> DataFrame:
-    """rec, start, end, duration, peak_hz, peak_amp of runs of frames louder than the recording's own 85 % rank.
-
-    Pauses of at most 0.06 s are filled, a leading one too; runs under 0.035 s go.
-    """
+def _runs(described_: DataFrame, hop: float) -> tuple[DataFrame, DataFrame]:
+    """The frames, and runs (first_row, last_row) of those louder than the recording's own 85 % rank."""
     import math
 
     frames_in = lambda seconds: max(1, math.floor(seconds / hop + 0.5))
     loud = nearest_ranks(described_, ["rec"], "rms", {"_limit": 0.85})
     d = described_.join(loud, "rec").select("rec", "i", "rms", "centroid", "_limit")
-    runs = islands(d, "rec", "i", "i", F.col("rms") > F.col("_limit"), frames_in(0.06), frames_in(0.035))
+    return d, islands(d, "rec", "i", "i", F.col("rms") > F.col("_limit"), frames_in(0.06), frames_in(0.035))
+
+
+def contours(described_: DataFrame, hop: float, length: int, value: str = "centroid") -> DataFrame:
+    """rec, first (frame of its start) and v: the course of ``value`` over each syllable at ``length`` even places.
+
+    A place between two frames is on the line between them.  Only the frames at these
+    places meet the syllable, so a long syllable is no larger than a short one.
+    """
+    _, runs = _runs(described_, hop)
+    span = F.col("last_row") - F.col("first_row")
+    places = runs.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("_at", F.col("a") / max(1, length - 1) * span)
+    ends = F.array(F.struct(F.floor("_at").alias("o"), (1 - (F.col("_at") - F.floor("_at"))).alias("w")), F.struct((F.floor("_at") + 1).alias("o"), (F.col("_at") - F.floor("_at")).alias("w")))
+    ends = places.withColumn("_e", F.explode(ends)).where("_e.w > 0").select("rec", (F.col("first_row") - 1).cast("long").alias("first"), "a", (F.col("first_row") - 1 + F.col("_e.o")).cast("long").alias("i"), "_e.w")
+    met = ends.join(described_.select("rec", "i", F.col(value).alias("x")), ["rec", "i"]).groupBy("rec", "first", "a").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    found = met.groupBy("rec", "first").agg(F.array_sort(F.collect_list(F.struct("a", "x"))).alias("p"))
+    return found.select("rec", "first", F.transform("p", lambda p: p["x"]).alias("v"))
+
+
+def syllables(described_: DataFrame, hop: float) -> DataFrame:
+    """rec, start, end, duration, peak_hz, peak_amp of runs of frames louder than the recording's own 85 % rank.
+
+    Pauses of at most 0.06 s are filled, a leading one too; runs under 0.035 s go.
+    """
+    d, runs = _runs(described_, hop)
     inside = d.join(runs.select(F.col("rec").alias("_rec"), "first_row", "last_row"), (F.col("rec") == F.col("_rec")) & (F.col("i") >= F.col("first_row") - 1) & (F.col("i") < F.col("last_row")))
     peaks = inside.groupBy("rec", "first_row", "last_row").agg(F.max_by("centroid", F.struct("rms", (-F.col("i")).alias("i"))).alias("c"), F.max("rms").alias("r"))
     return peaks.select(

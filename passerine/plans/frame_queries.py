@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalar
-from ..operators import frames as fr, matrix, vectors
+from ..operators import elastic, frames as fr, matrix, vectors
 from .queries import SQL, _vectors, query
 from .vector_queries import HZ, TEMPERATURE, WEIGHTS
 
@@ -238,6 +238,35 @@ def syllable_summary(spark, d):
     return fr.syllable_summary(fr.syllables(fr.described(f, HZ), HOP), f, HOP)
 
 
+#: Places of a syllable's contour, and how far apart aligned places can be.
+PLACES, BAND = 8, 1
+
+
+def _aligned() -> str:
+    """The cells of the banded alignment of x.v and y.v, a row of cells in each select."""
+    steps = "al0 as (select x.rec, x.first, y.rec as other_rec, y.first as other_first, x.v, y.v as w from ct x join ct y on (x.rec, x.first) <> (y.rec, y.first))"
+    for i in range(1, PLACES + 1):
+        cells = []
+        for j in range(max(1, i - BAND), min(PLACES, i + BAND) + 1):
+            near = [f"c_{a}_{b}" for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a and b and abs(a - b) <= BAND]
+            best = f" + least({', '.join(near)})" if near else ""
+            cells.append(f"(v[{i}] - w[{j}]) * (v[{i}] - w[{j}]){best} as c_{i}_{j}")
+        steps += f", al{i} as (select *, {', '.join(cells)} from al{i - 1})"
+    return steps
+
+
+@query(f"""with {_SYL}, pl as (select rec, a, b - a - 1 as span, unnest(range({PLACES})) as p from rn), pz as (select *, p / {PLACES - 1}e0 * span as t from pl),
+ct as (select pz.rec, a as first, list(l.centroid * (1 - (t - floor(t))) + coalesce(h.centroid, 0) * (t - floor(t)) order by p) as v from pz join de l on l.rec = pz.rec and l.i = a + cast(floor(t) as bigint) left join de h on h.rec = pz.rec and h.i = a + cast(floor(t) as bigint) + 1 and t > floor(t) group by pz.rec, a),
+{_aligned()}, rk as (select *, row_number() over (partition by rec, first order by round(c_{PLACES}_{PLACES}, 2), other_rec, other_first) as k from al{PLACES})
+select rec, first, other_rec, other_first, round(c_{PLACES}_{PLACES}, 2) as d2 from rk where k = 1""")
+def similar_syllables(spark, d):
+    c = fr.contours(fr.described(_frames(spark, d), HZ), HOP, PLACES)
+    c = c.select((F.shiftleft(F.col("rec").cast("long"), 32) + F.col("first")).alias("id"), "v")
+    found = elastic.nearest(c, c, "id", "v", PLACES, BAND)
+    part = lambda i, n: [F.shiftright(i, 32).cast("int").alias(f"{n}rec"), F.col(i).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{n}first")]
+    return found.select(*part("q_id", ""), *part("id", "other_"), F.round("d2", 2).alias("d2"))
+
+
 _CTES = lambda sql, known: sql[sql.index(known):]
 _FEATURES = (
     _SUMS + _SERIES.replace("STRIDE", "1")[len(_DESC):] + _PITCH[len(_FR):]
