@@ -7,11 +7,13 @@ nearest ranks found without gathering a recording's rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import arg_max, clamp, cosine, entropy, gini, half_up, total, unit_range
+from ..sources.storage import written
 from .select import nearest_ranks
 from .sequence import islands
 from .vectors import descriptors, rms, zero_crossings
@@ -72,10 +74,15 @@ def diversity_of_bands(occupancy: DataFrame) -> DataFrame:
 
 def acoustic_entropy(frames: DataFrame) -> DataFrame:
     """rec, ht, hf, h: normalised entropy of the envelope, of the mean spectrum, and their product."""
+    return acoustic_entropy_of(frames.select("rec", rms(F.col("x")).alias("r")), mean_spectrum(frames))
+
+
+def acoustic_entropy_of(envelope: DataFrame, mean: DataFrame) -> DataFrame:
+    """``acoustic_entropy`` of rec, r by frame and rec, m by bin."""
     part = lambda x: F.sum(F.when(F.col(x) > 0, F.col(x) * F.log(x)).otherwise(0.0))
     shannon = lambda x, n: F.when((F.sum(x) > 0) & (F.count(x) > 1), (F.log(F.sum(x)) - part(x) / F.sum(x)) / F.log(F.count(x))).otherwise(0.0).alias(n)
-    t = frames.select("rec", rms(F.col("x")).alias("r")).groupBy("rec").agg(shannon("r", "ht"))
-    f = mean_spectrum(frames).groupBy("rec").agg(shannon("m", "hf"))
+    t = envelope.groupBy("rec").agg(shannon("r", "ht"))
+    f = mean.groupBy("rec").agg(shannon("m", "hf"))
     return t.join(f, "rec").withColumn("h", F.col("ht") * F.col("hf"))
 
 
@@ -90,15 +97,15 @@ def complexity(frames: DataFrame, per_cluster: int) -> DataFrame:
     return bins.groupBy("rec", "cluster").agg(F.sum(F.when(F.col("m") > 0, F.col("d") / F.col("m")).otherwise(0.0)).alias("aci"))
 
 
-def evenly(frames: DataFrame, n: int) -> DataFrame:
-    """a (from 0) and the frames at n even places of each recording, first and last included."""
+def evenly(frames: DataFrame, n: int | Callable[[Column], Column]) -> DataFrame:
+    """a (from 0) and the frames at n even places of each recording, first and last included; n may follow from its frames."""
     size = frames.groupBy("rec").agg(F.count(F.lit(1)).alias("_n"))
-    count = F.least(F.lit(n), F.col("_n")).cast("int")
+    count = F.least(n(F.col("_n")) if callable(n) else F.lit(n), F.col("_n")).cast("int")
     at = size.withColumn("a", F.explode(F.sequence(F.lit(0), count - 1))).select("rec", "a", half_up(F.col("a") / F.greatest(count - 1, F.lit(1)) * (F.col("_n") - 1)).cast("long").alias("i"))
     return at.join(frames, ["rec", "i"])
 
 
-def self_similarity(frames: DataFrame, n: int) -> DataFrame:
+def self_similarity(frames: DataFrame, n: int | Callable[[Column], Column]) -> DataFrame:
     """rec, a, b, similarity of the spectra at n even places, all pairs of these bounded many places, both ways."""
     e = evenly(frames, n).select("rec", "a", "s")
     f = e.select("rec", F.col("a").alias("b"), F.col("s").alias("s2"))
@@ -114,13 +121,22 @@ def harmonic_pitch(s: Column, low: int, high: int) -> Column:
     return F.aggregate(F.sequence(F.lit(low), F.lit(max(low, high))), start, better)
 
 
-def pitch(frames: DataFrame, hz: float, bins: int, lowest: float = 80.0, highest: float = 5000.0) -> DataFrame:
-    """rec, i, hz, voicing of each frame: harmonic product, its cube root and the loudness over the recording's largest."""
+def harmonic(hz: float, bins: int, lowest: float = 80.0, highest: float = 5000.0) -> Column:
+    """The harmonic product of a frame's spectrum between two frequencies."""
     import math
 
     low, high = max(1, math.floor(lowest / hz)), min(bins // 3, math.ceil(highest / hz))
-    p = frames.select("rec", "i", rms(F.col("x")).alias("r"), harmonic_pitch(F.col("s"), low, high).alias("p"))
-    p = p.withColumn("v", F.cbrt(F.greatest("p.v", F.lit(0.0))))
+    return harmonic_pitch(F.col("s"), low, high)
+
+
+def pitch(frames: DataFrame, hz: float, bins: int) -> DataFrame:
+    """rec, i, hz, voicing of each frame: harmonic product, its cube root and the loudness over the recording's largest."""
+    return voiced(frames.select("rec", "i", rms(F.col("x")).alias("rms"), harmonic(hz, bins).alias("p")), hz)
+
+
+def voiced(described_: DataFrame, hz: float) -> DataFrame:
+    """``pitch`` of frames that have rms and their harmonic product p."""
+    p = described_.select("rec", "i", F.col("rms").alias("r"), "p").withColumn("v", F.cbrt(F.greatest("p.v", F.lit(0.0))))
     top = p.groupBy("rec").agg(F.greatest(F.max("v"), F.lit(1e-9)).alias("_v"), F.greatest(F.max("r"), F.lit(1e-9)).alias("_r"))
     voicing = half_up(F.least(F.lit(1.0), F.col("v") / F.col("_v") * F.sqrt(F.col("r") / F.col("_r"))), 3)
     return p.join(top, "rec").select("rec", "i", half_up(F.col("p.b") * hz).alias("hz"), voicing.alias("voicing"))
@@ -203,7 +219,12 @@ DIGITS = {"centroid": 0, "rolloff": 0, "bandwidth": 0, "freqMod": 0, "flux": 2,
 
 def series(frames: DataFrame, hz: float, stride: int) -> DataFrame:
     """rec, frame and twelve rounded series at every ``stride``-th frame; changes are against the kept frame before, 0 at first."""
-    kept = described(frames, hz).join(flux(frames).select("rec", "i", "flux"), ["rec", "i"]).where(F.col("i") % stride == 0)
+    return paced(described(frames, hz).join(flux(frames).select("rec", "i", "flux"), ["rec", "i"]), stride)
+
+
+def paced(described_: DataFrame, stride: int) -> DataFrame:
+    """``series`` of frames that have their descriptors and flux."""
+    kept = described_.where(F.col("i") % stride == 0)
     top = kept.groupBy("rec").agg(F.greatest(F.max("flux"), F.lit(1e-9)).alias("_flux"))
     d = kept.join(top, "rec").withColumn("flux", F.col("flux") / F.col("_flux"))
     for name, of in (("freqMod", "centroid"), ("ampMod", "rms")):
@@ -217,7 +238,7 @@ def _runs(described_: DataFrame, hop: float) -> tuple[DataFrame, DataFrame]:
 
     frames_in = lambda seconds: max(1, math.floor(seconds / hop + 0.5))
     loud = nearest_ranks(described_, ["rec"], "rms", {"_limit": 0.85})
-    d = described_.join(loud, "rec").select("rec", "i", "rms", "centroid", "_limit")
+    d = written(described_.select("rec", "i", "rms", "centroid").join(loud, "rec"))
     return d, islands(d, "rec", "i", "i", F.col("rms") > F.col("_limit"), frames_in(0.06), frames_in(0.035))
 
 
@@ -251,6 +272,49 @@ def syllables(described_: DataFrame, hop: float) -> DataFrame:
     )
 
 
+def analysed(frames: DataFrame, hz: float, bins: int) -> DataFrame:
+    """rec, i, s, the descriptors, flux and harmonic product p of each frame, in one pass, written for all that reads them."""
+    d = flux(frames).select("rec", "i", "s", "flux", descriptors(F.col("s"), hz).alias("d"), rms(F.col("x")).alias("rms"), zero_crossings(F.col("x")).alias("zcr"), harmonic(hz, bins).alias("p"))
+    return written(d.select("rec", "i", "s", "flux", "d.*", "rms", "zcr", "p"))
+
+
+@dataclass
+class Analysis:
+    """The tables of a recording's analysis, by rec: pitch by frame, syllables, clusters, similarity of places, bands, indices."""
+
+    pitch: DataFrame
+    syllables: DataFrame
+    complexity: DataFrame
+    similarity: DataFrame
+    bands: DataFrame
+    indices: DataFrame
+
+
+def analysis(frames: DataFrame, hz: float, bins: int, rate: float, hop: float) -> Analysis:
+    """All of a recording's analysis from one pass over its frames.
+
+    Self-similarity has four places a second, 100 at least and 220 at most.  A cluster
+    of the complexity is a second.  Indices: adi and aei of the bands' occupancies, bi
+    (area of the mean spectrum in dB over its least, 2 to 8 kHz), and the entropies.
+    """
+    import math
+
+    t = analysed(frames, hz, bins)
+    places = lambda n: F.least(F.lit(220.0), F.greatest(F.lit(100.0), half_up(n * hop * 4)))
+    occupancy = band_occupancy(t, band_edges(bins, hz, rate)).withColumns({c: half_up(F.col(c), 3) for c in ("occupancy", "mean_energy")})
+    mean = mean_spectrum(t)
+    db = 10 * F.log10(F.col("m") + 1e-9)
+    low, high = max(1, math.floor(2000 / hz)), min(bins, math.ceil(8000 / hz))
+    area = mean.where((F.col("k") >= low) & (F.col("k") < high)).groupBy("rec").agg(((F.sum(db) - F.count(db) * F.min(db)) * (hz / 1000)).alias("bi"))
+    entropies = acoustic_entropy_of(t.select("rec", F.col("rms").alias("r")), mean)
+    indices = diversity_of_bands(occupancy).join(entropies, "rec").join(area, "rec", "left")
+    digits = {"adi": 3, "aei": 3, "bi": 2, "h": 3, "ht": 3, "hf": 3}
+    return Analysis(
+        voiced(t, hz), syllables(t, hop), complexity(t, max(2, int(1 / hop + 0.5))), self_similarity(t, places), occupancy,
+        indices.select("rec", *[half_up(F.coalesce(F.col(c), F.lit(0.0)), n).alias(c) for c, n in digits.items()]),
+    )
+
+
 def syllable_summary(found: DataFrame, frames: DataFrame, hop: float) -> DataFrame:
     """rec, count, mean_duration, mean_gap, repetition_rate of every recording, 0 where it has none."""
     gap = half_up(F.col("start") - F.lag("end").over(W.partitionBy("rec").orderBy("start")), 3)
@@ -265,18 +329,18 @@ def syllable_summary(found: DataFrame, frames: DataFrame, hop: float) -> DataFra
 
 def summary_features(frames: DataFrame, hz: float, bins: int, hop: float, stride: int = 1) -> DataFrame:
     """One row per recording: the fourteen features that tell recordings apart."""
-    d = described(frames, hz)
-    s = series(frames, hz, stride)
+    frames = d = analysed(frames, hz, bins)
+    s = written(paced(d, stride))
     means = s.groupBy("rec").agg(*[F.avg(c).alias(c) for c in ("centroid", "bandwidth", "flatness", "entropy", "flux", "zcr")])
     wide = nearest_ranks(s, ["rec"], "centroid", {"c9": 0.9, "c1": 0.1})
-    p = pitch(frames, hz, bins)
-    voiced = p.groupBy("rec").agg(F.avg((F.col("voicing") > 0.15).cast("double")).alias("voicedFrac"))
+    p = voiced(d, hz)
+    tonal = p.groupBy("rec").agg(F.avg((F.col("voicing") > 0.15).cast("double")).alias("voicedFrac"))
     tones = nearest_ranks(p.where("voicing > 0.15 and hz > 0"), ["rec"], "hz", {"p9": 0.9, "p1": 0.1})
     calls = syllable_summary(syllables(d, hop), frames, hop)
     per = max(2, int(1 / hop + 0.5))
     aci = complexity(frames, per).groupBy("rec").agg(half_up(F.sum("aci"), 1).alias("aci"))
     dur = frames.groupBy("rec").agg((F.count(F.lit(1)) * hop).alias("dur"))
-    rows = dur.join(calls, "rec").join(aci, "rec", "left").join(means, "rec").join(wide, "rec").join(voiced, "rec").join(tones, "rec", "left")
+    rows = dur.join(calls, "rec").join(aci, "rec", "left").join(means, "rec").join(wide, "rec").join(tonal, "rec").join(tones, "rec", "left")
     return rows.select(
         "rec", "dur", F.col("repetition_rate").alias("repRate"), F.col("mean_duration").alias("syllDur"), F.col("mean_gap").alias("gap"),
         (F.coalesce("aci", F.lit(0.0)) / F.col("dur")).alias("aciPerSec"), "centroid", (F.col("c9") - F.col("c1")).alias("centroidRange"),

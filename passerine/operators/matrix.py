@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import half_up, top_labels
 from ..sources.storage import written
-from . import metric_index
+from . import metric_index, scan
 from .vectors import squared_distance
 
 #: Up to so many dimensions all their products are added up; beyond, components come from a random range.
@@ -228,6 +228,7 @@ def classified(df: DataFrame, id_col: str, features: list[str], weights: dict[st
 
     Softmax of weighted standard scores; to 3 digits.  Ties go to what is named first.
     """
+    df = written(df)
     z, scores = _scored(df, features, weights)
     each = [
         F.struct((-s).alias("s"), F.lit(k).alias("o"), F.lit(c).alias("id"), top_labels({labels[f]: F.round(z[f] * x, 9) for f, x in w.items()}, 3).alias("drivers"))
@@ -247,6 +248,7 @@ def category_rollup(members: DataFrame, categories: list[str], id_col: str, conf
 
     The representative is the member nearest to the centre, then the smallest id.
     """
+    members = written(members)
     centre = members.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("mean_confidence"), *[F.avg(p).alias(f"c{p}") for p in position])
     far = sum(((F.col(p) - F.col(f"c{p}")) * (F.col(p) - F.col(f"c{p}")) for p in position), F.lit(0.0))
     placed = members.join(centre.select("category", *[f"c{p}" for p in position]), "category").groupBy("category").agg(
@@ -261,6 +263,20 @@ def category_rollup(members: DataFrame, categories: list[str], id_col: str, conf
     )
 
 
+def category_members(members: DataFrame, id_col: str, confidence: str) -> DataFrame:
+    """``members`` with place: from 1, surest first, then by id; a category of any size is ranked by all tasks.
+
+    Ids and confidences are not null.
+    """
+    rows = scan.segmented(members.withColumn("_o", -F.col(confidence)), "_o")
+    return scan.running_sum(rows, ["category"], ["_o", id_col], F.lit(1), "place").drop("_o", "_seg")
+
+
+def with_shapes(cards: DataFrame, shapes: DataFrame, key: str = "category") -> DataFrame:
+    """The cards that have members and an ellipsoid, with it."""
+    return cards.where("n > 0").join(shapes, key)
+
+
 def ellipsoids(points: DataFrame, key: str, position: tuple[str, str, str], sigma: float = 1.6) -> DataFrame:
     """key, centre, radii, matrix: the covariance ellipsoid of each group of four points or more.
 

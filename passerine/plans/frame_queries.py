@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalar
 from ..operators import elastic, frames as fr, matrix, vectors
+from ..sources.storage import written
 from .queries import SQL, _vectors, query
 from .vector_queries import HZ, TEMPERATURE, WEIGHTS
 
@@ -322,6 +323,51 @@ def category_cards(spark, d):
                         *[F.round(f"c{c}", 6).alias(f"c{c}") for c in "xyz"], F.coalesce(F.col("representative").cast("string"), F.lit("none")).alias("representative"))
 
 
+@query(f"""with {_CLASSES} select rec, category, row_number() over (partition by category order by {_HALF('p', 3)} desc, rec) as place from cl""")
+def category_members(spark, d):
+    return matrix.category_members(_classified(spark, d), "rec", "confidence").select("rec", "category", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""with {_CLASSES}, g as (select category, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings join cl on rec = label),
+c as (select category, var_pop(x) xx, var_pop(y) yy, var_pop(z) zz from g group by 1 having count(*) >= 4)
+select category, n, round((xx + yy + zz) * 2.56, 5) as squares from c join (select category, count(*) as n from cl group by 1) using (category)""")
+def category_shapes(spark, d):
+    members = written(_classified(spark, d).select("rec", "category"))
+    points = _vectors(spark, d).select(F.col("label").alias("rec"), *[F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate("xyz")]).join(members, "rec")
+    shapes = matrix.ellipsoids(points, "category", ("x", "y", "z"))
+    found = matrix.with_shapes(members.groupBy("category").agg(F.count(F.lit(1)).alias("n")), shapes)
+    return found.select("category", "n", F.round(scalar.total(F.transform("radii", lambda x: x * x)), 5).alias("squares"))
+
+
+_WHOLE = _SUMS + _PITCH[len(_FR):] + f""", ch as (select rec, i // 50 as cluster, k, m, abs(m - lag(m) over (partition by rec, i // 50, k order by i)) as dm from bn),
+ac as (select rec, cluster, k, coalesce(sum(dm), 0) / sum(m) as a from ch group by 1, 2, 3 having count(*) >= 2 and sum(m) > 0), act as (select rec, count(distinct cluster) as clusters, sum(a) as aci from ac group by 1)""" + _BANDS[len(_FR):] + f""",
+od as (select rec, {_HALF('occupancy', 3)} as o from oc), ot as (select *, sum(o) over (partition by rec) as tot, row_number() over (partition by rec order by o) as q from od),
+dv as (select rec, case when any_value(tot) > 0 then -sum(case when o > 0 then o / tot * ln(o / tot) else 0 end) else 0 end as adi, case when any_value(tot) > 0 then sum((2 * q - 11) * o) / (10 * any_value(tot)) else 0 end as aei from ot group by 1),
+ms as (select rec, k, avg(m) as m from bn group by 1, 2), md as (select rec, 10 * log10(m + 1e-9) as db from ms where k >= greatest(1, cast(floor(2000 / {_HZ}) as int)) and k < least(64, cast(ceil(8000 / {_HZ}) as int))),
+bi as (select rec, (sum(db) - count(db) * min(db)) * {_HZ} / 1000 as bi from md group by 1),
+ro0 as (select rec, i, sqrt(sum(v * v) / 64) as r from bn group by 1, 2), er as (select rec, r / sum(r) over (partition by rec) as p, count(*) over (partition by rec) as n from ro0), et as (select rec, -sum(p * ln(p)) / ln(any_value(n)) as ht from er group by 1),
+ep as (select rec, m / sum(m) over (partition by rec) as p from ms), ef as (select rec, -sum(p * ln(p)) / ln(64) as hf from ep group by 1)"""
+
+
+@query(f"""with {_WHOLE}, vc as (select rec, count(*) as frames, sum(case when voicing > 0.15 then 1 else 0 end) as voiced from pt group by 1)
+select rec, frames, cast(voiced as bigint) as voiced, coalesce(s.count, 0) as syllables, coalesce(clusters, 0) as clusters, round(coalesce(aci, 0), 5) as aci,
+{', '.join(f'{_HALF(c, n)} + 0.0 as {c}' for c, n in (('adi', 3), ('aei', 3), ('bi', 2), ('ht', 3), ('hf', 3)))}, {_HALF('ht * hf', 3)} as h
+from vc left join su s using (rec) left join act using (rec) join dv using (rec) join bi using (rec) join et using (rec) join ef using (rec)""")
+def recording_analysis(spark, d):
+    a = fr.analysis(_frames(spark, d), HZ, BINS, RATE, HOP)
+    p = a.pitch.groupBy("rec").agg(F.count(F.lit(1)).alias("frames"), F.sum((F.col("voicing") > 0.15).cast("long")).alias("voiced"))
+    c = a.complexity.groupBy("rec").agg(F.count(F.lit(1)).alias("clusters"), F.sum("aci").alias("aci"))
+    both = p.join(a.syllables.groupBy("rec").agg(F.count(F.lit(1)).alias("syllables")), "rec", "left").join(c, "rec", "left").join(a.indices, "rec")
+    zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+    return both.select("rec", "frames", "voiced", zero("syllables"), zero("clusters"), F.round(F.coalesce("aci", F.lit(0.0)), 5).alias("aci"), "adi", "aei", "bi", "ht", "hf", "h")
+
+
+@query(SQL["self_similarity"].replace("least(12, n)", f"least(least(220, greatest(100, cast(floor(n * {_HOP} * 4 + 0.5) as bigint))), n)"))
+def analysed_similarity(spark, d):
+    s = fr.analysis(_frames(spark, d), HZ, BINS, RATE, HOP).similarity
+    return s.select("rec", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "similarity")
+
+
 @query("""with p as (select label as rec, vec_id, row_number() over (partition by label order by vec_id) * 0.5 as t, list_transform(embedding[1:3], lambda v: cast(v as double)) as v from embeddings),
 r as (select a.rec, a.vec_id as i, b.vec_id as j, round(sqrt((a.v[1]-b.v[1])*(a.v[1]-b.v[1]) + (a.v[2]-b.v[2])*(a.v[2]-b.v[2]) + (a.v[3]-b.v[3])*(a.v[3]-b.v[3])), 9) as distance from p a join p b on a.rec = b.rec and a.vec_id <> b.vec_id and abs(a.t - b.t) >= 1.5),
 k as (select *, row_number() over (partition by rec, i order by distance, j) as k from r)
