@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +33,38 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_document(df: DataFrame, path: str, order: Sequence[Column] = (), single: bool = False) -> None:
+    """One pretty-printed JSON file: a list of the rows in this order, or with ``single`` the only row as an object.
+
+    Null fields are left out.  The file is written beside and then takes the place of
+    the one before, so a reader sees a whole document.  The text passes through one
+    task as a stream, as one file is asked; the order is made by all tasks.
+    """
+    spark = df.sparkSession
+    rows = df.orderBy(*order) if order else df
+    texts = rows.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value")).coalesce(1)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = False
+        for batch in batches:
+            lines = [("," if some or n else "[") + text for n, text in enumerate(batch.column(0).to_pylist())]
+            some = some or bool(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if some else "[]"])], names=["value"])
+
+    if single and df.limit(2).count() != 1:
+        raise ValueError("a single document is one row")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    (texts if single else texts.mapInArrow(listed, "value string")).write.text(beside)
+    parts = [f.getPath() for f in fs.listStatus(hadoop(beside)) if f.getPath().getName().startswith("part-") and f.getLen()]
+    if not parts:  # a table without partitions has no task that could write
+        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(beside)
+        parts = [f.getPath() for f in fs.listStatus(hadoop(beside)) if f.getPath().getName().startswith("part-") and f.getLen()]
+    if fs.exists(hadoop(path)):
+        fs.delete(hadoop(path), True)
+    fs.rename(parts[0], hadoop(path))
+    fs.delete(hadoop(beside), True)

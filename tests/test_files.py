@@ -95,3 +95,22 @@ def test_audio(spark, tmp_path):
     assert set(cut) == {7, 8} and len(cut[7]) == 8000 and np.allclose(cut[7], x[4000:12000], atol=1e-3)
     assert len(cut[8]) == 14000 and np.allclose(cut[8][:2000], x[2000:4000], atol=1e-3) and not cut[8][2000:].any()
     assert files.file_paths(spark, str(tmp_path), "*.wav", F.col("path").contains("/d/")).count() == 1
+
+
+def test_one_document(spark, tmp_path):
+    rows = [(3, "b\n", [1.5, None]), (1, 'a"', []), (2, None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, v array<double>").repartition(3)
+    path = f"{tmp_path}/out.json"
+    for _ in range(2):  # the second one takes the place of the first
+        tables.write_document(df, path, [F.col("id")])
+        assert json.load(open(path)) == [{"id": 1, "name": 'a"', "v": []}, {"id": 2}, {"id": 3, "name": "b\n", "v": [1.5, None]}]
+        assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out.json"]
+    back = files.read_document(spark, path, "id long, name string, v array<double>")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    tables.write_document(df.where("id = 1").withColumn("more", F.struct("id", "v")), path, single=True)
+    assert json.load(open(path)) == {"id": 1, "name": 'a"', "v": [], "more": {"id": 1, "v": []}}
+    assert "\n" in open(path).read().strip()
+    tables.write_document(df.limit(0), path)
+    assert json.load(open(path)) == []
+    with pytest.raises(ValueError):
+        tables.write_document(df, path, single=True)
