@@ -1,20 +1,24 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-E-mail addresses, national and international phone numbers, IPv4 addresses, card
-numbers and titled names are found by one pattern.  What is replaced is not the
-string but what it names, in one form for all its spellings: an address in lower
-case, the digits of a number, each part of a name without title and case.  Every
-such part gets one keyed replacement of its own kind: digits for digits, letters
-of the same script and kind, given names of the same gender, an address of a
-reserved range or example domain; country codes and check digits stay right.  So
+E-mail addresses, national and international phone numbers, IPv4 and IPv6
+addresses, card, account (IBAN) and social security numbers, and names after a
+title or with a listed given name are found by one pattern, whose matches have a
+bounded length, so that time is linear in a text of any length.  What is replaced
+is not the string but what it names, in one form for all its spellings: an address
+in lower case, the digits of a number, each part of a name without title and case.
+Every such part gets one keyed replacement of its own kind: digits for digits,
+letters of the same script and kind, given names of the same gender, an address of
+a reserved range or example domain; country codes and check digits stay right.  So
 'Mr. John Smith', 'Mr John Smith' and 'MR Smith' share a surname, before and after.
 Two parts with one replacement, or a replacement that is a part found in the
-corpus, are tried again until none is left.
+corpus, are tried again until none is left; after ``TRIES`` attempts a replacement
+grows longer than what it stands for.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,22 +29,16 @@ _NAME = r"\p{Lu}[\p{L}\p{M}]{0,40}+(?![\p{L}\p{M}])(?:['’-]\p{L}[\p{L}\p{M}]{0
 _PHONES = (
     r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -][0-9]{4}",
     r"(?<![\p{L}0-9])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    r"(?<![\p{L}0-9])\+[1-9](?=(?:[ ./()-]{0,2}[0-9]){6,14}(?![0-9]))[0-9]*+(?:[ ./-]?(?:\([0-9]{1,5}\)|[0-9]++)){0,6}+",
+    r"(?<![\p{L}0-9])\+[1-9](?=(?:[ ./()-]{0,2}[0-9]){6,14}(?![0-9]))[0-9]{0,14}+(?:[ ./-]?(?:\([0-9]{1,5}\)|[0-9]{1,14}+(?![0-9]))){0,6}+",
     r"(?<![0-9.-])(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     r"(?<![\p{L}0-9.-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])",
-    r"(?<![\p{L}0-9.-])(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{0,3}[ /-])(?=(?:[ -]?[0-9]){6,9}(?![0-9]))[0-9]{3,8}+(?:[ -][0-9]{2,5}+)*+",
+    r"(?<![\p{L}0-9.-])(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{0,3}[ /-])(?=(?:[ -]?[0-9]){6,9}(?![0-9]))[0-9]{3,8}+(?:[ -][0-9]{2,5}+){0,3}+",
+    r"(?<![\p{L}\p{M}])(?i:phone|tel|call|mobile|cell|fax)[.:]? ?[2-9][0-9]{9}(?![0-9])",  # ten digits after a word that says so
 )
-#: Java patterns, in the order in which they are tried at a place.
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "phone": "(?:" + "|".join(_PHONES) + ")",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?|[1-9][0-9]{12,18}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3})(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: \p{{Lu}}\.)?(?: (?:von|van|der|den|de|del|della|di|da|la|le|ter|zu)\b){{0,3}}(?: {_NAME})?",
-}
-#: Card numbers of this shape count as they are; those of other lengths need the right check digit.
-FOUR_BY_FOUR = r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?$"
-ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: Countries whose account numbers are looked for, and the length of these; fixed values, ISO 13616.
+IBAN = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24, "TR": 26}
+_ACCOUNTS = [rf"{c}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for c, n in IBAN.items()]
 #: Given names by gender and script, in lower case; each is replaced by the next of its list in a keyed order.
 GIVEN = {
     "f": "anna alice amy carmen caroline claire clara elena emily emma eva grace hannah helen ingrid isabel jane julia karen laura lea lucia maria marie mary nina olivia patricia petra rosa sarah sofia sophie susan ursula".split(),
@@ -50,6 +48,24 @@ GIVEN = {
     "f-ru": "анна елена ирина мария ольга татьяна".split(),
     "m-ru": "алексей андрей иван михаил николай сергей".split(),
 }
+#: Listed given names that are common words too; without a title they are no names.
+WORDS_TOO = frozenset("grace jean mark".split())
+_LISTED = "|".join(n.capitalize() for k, names in GIVEN.items() for n in names if n not in WORDS_TOO)
+_SURNAME = rf"(?: \p{{Lu}}\.)?(?: (?:von|van|der|den|de|del|della|di|da|la|le|ter|zu)\b){{0,3}}"
+#: Java patterns, in the order in which they are tried at a place.
+PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,40}+",
+    "phone": "(?:" + "|".join(_PHONES) + ")",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?|[1-9][0-9]{12,18}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3})(?![0-9])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "iban": rf"(?<![\p{{L}}0-9])(?={'|'.join(IBAN)})(?:{'|'.join(_ACCOUNTS)})(?![\p{{L}}0-9])",
+    "ipv6": rf"(?<![\p{{L}}0-9:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[0-9A-Fa-f]{{0,3}}[0-9])[0-9A-Fa-f]{{3,4}}(?::{_GROUP}){{0,5}}::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![\p{{L}}0-9:])",
+    "name": rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? {_NAME}{_SURNAME}(?: {_NAME})?|(?:{_LISTED}){_SURNAME} {_NAME})",
+}
+#: Card numbers of this shape count as they are; those of other lengths need the right check digit.
+FOUR_BY_FOUR = r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{3})?$"
+ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: Titles that tell the gender of a given name that is in no list.
 _FEMALE, _MALE = "Mrs|Ms|Miss|Lady|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Signora", "Mr|Sir|Herr|Monsieur|Señor|Sr|Signor|Dott"
 KINDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "äöüáàâéèêëíîïóôúù", "çñß", "ÄÖÜÁÀÂÉÈÊËÍÎÏÓÔÚÙ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
@@ -63,6 +79,8 @@ CLASSES = (
 )
 TRIES = 12
 _TOKEN = r"\p{Lu}[\p{L}\p{M}]*+"
+_TITLE = rf"^(?:{_TITLES})\.? "
+_ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _given(key: str) -> dict[str, str]:
@@ -95,10 +113,19 @@ def _digits(value: Column) -> Column:
 
 def kind_of(value: Column) -> Column:
     out = F.when(F.instr(value, "@") > 0, "email")
-    for kind in ("phone", "ip", "card"):
+    for kind in ("phone", "ip", "card", "ssn", "iban", "ipv6"):
         out = out.when(value.rlike(f"^{PATTERNS[kind]}$"), kind)
+    out = out.otherwise("name")
     right = value.rlike(FOUR_BY_FOUR) | F.call_function("luhn_check", _digits(value))
-    return F.when((out == "card") & ~right, "none").otherwise(out.otherwise("name"))
+    account = F.replace(value, F.lit(" "), F.lit(""))
+    genuine = _mod97(F.concat(F.substring(account, 5, 40), F.substring(account, 1, 4))) == 1
+    return F.when((out == "card") & ~right, "none").when((out == "iban") & ~genuine, "none").otherwise(out)
+
+
+def _mod97(text: Column) -> Column:
+    """Digits and capitals (A is 10, Z is 35) read as one number, modulo 97."""
+    values = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(_ALNUM), c) - 1)
+    return F.aggregate(values, F.lit(0), lambda s, v: F.pmod(s * F.when(v < 10, 10).otherwise(100) + v, F.lit(97)))
 
 
 def _parts(value: Column, kind: Column) -> Column:
@@ -106,9 +133,9 @@ def _parts(value: Column, kind: Column) -> Column:
     one = lambda part: F.array(F.struct(kind.alias("kind"), part.alias("part"), F.lit(None).cast("string").alias("gender")))
     title = F.regexp_extract(value, r"^(\p{L}+)", 1)
     gender = F.when(title.rlike(f"^(?:{_FEMALE})$"), "f").when(title.rlike(f"^(?:{_MALE})$"), "m")
-    tokens = F.regexp_extract_all(F.regexp_replace(value, r"^[^ ]+ ", ""), F.lit(f"({_TOKEN})"), F.lit(1))
+    tokens = F.regexp_extract_all(F.regexp_replace(value, _TITLE, ""), F.lit(f"({_TOKEN})"), F.lit(1))
     named = F.transform(tokens, lambda t, i: F.struct(F.lit("word").alias("kind"), F.lower(t).alias("part"), F.when((i == 0) & (F.size(tokens) > 1), gender).alias("gender")))
-    return F.when(kind == "email", one(F.lower(value))).when(kind.isin("phone", "card"), one(_digits(value))).when(kind == "name", named).otherwise(one(value))
+    return F.when(kind.isin("email", "ipv6"), one(F.lower(value))).when(kind.isin("phone", "card", "ssn"), one(_digits(value))).when(kind == "iban", one(F.replace(value, F.lit(" "), F.lit("")))).when(kind == "name", named).otherwise(one(value))
 
 
 def _luhn(digits: Column) -> Column:
@@ -134,7 +161,14 @@ def _replaced(kind: Column, part: Column, gender: Column, attempt: Column, key:
     last = F.when(gender == "f", ends("a", "α", "а")).when(gender == "m", ends("n", "ς", "н"))
     grown = F.concat(masked, F.when(attempt > 5, _masked(F.lit("ab"), digest)).otherwise(""))
     word = F.transform(F.array(grown), lambda g: F.when(last.isNotNull() & (F.length(part) > 2) & part.rlike(r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]$"), F.concat(F.substring(g, F.lit(1), F.length(g) - 1), last)).otherwise(g))[0]
-    return F.when(kind == "email", email).when(kind == "phone", masked).when(kind == "ip", ip).when(kind == "card", card).otherwise(word)
+    ssn = F.concat(F.lit("9"), F.substring(masked, 2, 8))  # no number that is given out starts so
+    account, country = _masked(F.substring(part, 5, 40), digest), F.substring(part, 1, 2)
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    ipv6 = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(digest, 4 * i + 1, 4) for i in range(6)])
+    made = F.when(kind == "email", email).when(kind == "phone", masked).when(kind == "ip", ip).when(kind == "card", card)
+    made = made.when(kind == "ssn", ssn).when(kind == "iban", F.concat(country, check, account)).when(kind == "ipv6", ipv6).otherwise(word)
+    tail = F.when(kind == "word", F.translate(F.substring(digest, 1, 12), "0123456789", "ghijklmnop")).otherwise(F.conv(F.substring(digest, 1, 14), 16, 10))
+    return F.when(attempt < TRIES, made).otherwise(F.concat(made, tail))
 
 
 def _part_surrogates(parts: DataFrame, key: str) -> DataFrame:
@@ -142,8 +176,8 @@ def _part_surrogates(parts: DataFrame, key: str) -> DataFrame:
 
     Names in the lists take each other's places.  Of other parts of one kind that
     share a replacement the first keeps it; the others, and those whose
-    replacement is itself a part or a listed name, are tried again.  It fails
-    after ``TRIES`` attempts rather than return a collision.
+    replacement is itself a part or a listed name, are tried again.  From
+    attempt ``TRIES`` on a replacement is lengthened by a digest, so this ends.
     """
     names = _given(key)
     listed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -152,7 +186,7 @@ def _part_surrogates(parts: DataFrame, key: str) -> DataFrame:
     done = checkpoint(known.unionByName(cycled))
     todo = parts.where((F.col("kind") != "none") & ~((F.col("kind") == "word") & F.col("part").isin(list(names))))
     real = parts.select("kind", F.col("part").alias("sub"))
-    for attempt in range(TRIES):
+    for attempt in itertools.count():
         tried = todo.withColumn("sub", _replaced(F.col("kind"), F.col("part"), F.col("gender"), F.lit(attempt), key))
         first = tried.groupBy("kind", "sub").agg(F.min("part").alias("part"))
         good = first.join(real, ["kind", "sub"], "left_anti").where(~((F.col("kind") == "word") & F.col("sub").isin(list(names))))
@@ -162,18 +196,23 @@ def _part_surrogates(parts: DataFrame, key: str) -> DataFrame:
         todo = checkpoint(todo.join(got.select("kind", "part"), ["kind", "part"], "left_anti"))
         if todo.isEmpty():
             return done
-    raise ValueError(f"{todo.count()} parts have no replacement of their own after {TRIES} attempts")
 
 
 def _rendered(value: Column, kind: Column, subs: Column) -> Column:
     """The entity with its parts replaced, in its own format."""
     sub = F.get(subs, F.lit(0))
-    place = lambda i: F.length(_digits(F.substring(value, F.lit(1), i)))  # noqa: E731  digits before the i-th character
-    poured = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(sub, place(i) + 1, F.lit(1))).otherwise(c)), "")
+
+    def pour(kept: str) -> Column:
+        """``sub`` in the places of the characters that are not ``kept``; what is left of it comes last."""
+        place = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), kept, ""))  # noqa: E731  before the i-th character
+        each = F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(kept), c).otherwise(F.substring(sub, place(i) + 1, F.lit(1))))
+        return F.concat(F.array_join(each, ""), F.substring(sub, place(F.length(value)) + 1, F.length(sub)))
+
+    poured = pour("[^0-9]")
     country = F.regexp_extract(value, r"^(\+[0-9]{1,3} ?)", 1)
     phone = F.transform(F.array(poured), lambda p: F.concat(country, F.substring(p, F.length(country) + 1, F.length(p))))[0]
-    title = F.regexp_extract(value, r"^([^ ]+ )", 1)
-    rest = F.regexp_replace(value, r"^[^ ]+ ", "")
+    title = F.regexp_extract(value, f"({_TITLE})", 1)
+    rest = F.regexp_replace(value, _TITLE, "")
     tokens = F.regexp_extract_all(rest, F.lit(f"({_TOKEN})"), F.lit(1))
 
     def cased(token: Column, new: Column) -> Column:
@@ -184,13 +223,13 @@ def _rendered(value: Column, kind: Column, subs: Column) -> Column:
 
     gaps = F.split(rest, _TOKEN, -1)
     name = F.array_join(F.zip_with(gaps, F.zip_with(tokens, subs, cased), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(kind == "phone", phone).when(kind == "card", poured).when(kind == "name", F.concat(title, name)).otherwise(sub)
+    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), poured).when(kind == "iban", pour("[^A-Z0-9]")).when(kind == "name", F.concat(title, name)).otherwise(sub)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """value, kind, surrogate of each distinct entity (column value).
 
-    What only looks like a card number is of kind 'none' and stays.  Entities that
+    What only looks like a card or account number is of kind 'none' and stays.  Entities that
     name the same, in another spelling, have the same replacement in that spelling.
     """
     kinds = checkpoint(entities.select("value").distinct().withColumn("kind", kind_of(F.col("value"))))
@@ -206,11 +245,13 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text (replaced), n_entities, n_email, n_phone, n_ip, n_card, n_name.
+    """One row per document: doc_id, text (replaced), n_entities, and n_<kind> for each kind of ``PATTERNS``.
 
     ``key`` is a secret of the caller: who has it can make the same replacements.
     A null text becomes empty; a null id stays null; repeated rows are replaced
     alike; other columns are not looked at; an empty table gives an empty result.
+    A very long text is replaced whole, in linear time.  Where patterns overlap the
+    leftmost match counts, and of those at one place the first of ``PATTERNS``.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = rows.select("text", F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1)).alias("found")).where(F.size("found") > 0)
