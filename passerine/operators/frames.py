@@ -160,14 +160,15 @@ def log_spectrogram(spectra: Column) -> Column:
     return F.transform(F.flatten(spectra), F.log1p)
 
 
-def point_grid(frames: DataFrame, hz: float, hop_seconds: float, window: int = 6, hop: int = 2, most: int = 700) -> DataFrame:
-    """Windows of ``window`` frames every ``hop``, or as many as make at most about ``most`` of a recording.
+def point_grid(frames: DataFrame, hz: float, hop_seconds: float, window: int = 6, hop: int = 2, most: int | None = 700) -> DataFrame:
+    """Windows of ``window`` frames every ``hop``, or as many as make at most about ``most`` of a recording; with None, every ``hop`` however long it is.
 
     rec, id, t, amplitude (over the span), dominant_hz (peak of the loudest frame),
     centroid_hz and flux (means), feature (the flat log spectrogram).
     """
-    n = F.count(F.lit(1)).over(W.partitionBy("rec"))
-    step = F.greatest(F.lit(hop), F.ceil(n / most))
+    step = F.lit(hop)
+    if most is not None:
+        step = F.greatest(step, F.ceil(F.count(F.lit(1)).over(W.partitionBy("rec")) / most))
     ahead = W.partitionBy("rec").orderBy("i").rowsBetween(0, window - 1)
     d = flux(frames).select("rec", "i", "s", "flux", rms(F.col("x")).alias("r"), descriptors(F.col("s"), hz)["centroid"].alias("c"), step.alias("step"))
     # of frames that are equally loud the first counts
