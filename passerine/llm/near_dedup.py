@@ -1,11 +1,13 @@
-"""Near-deduplication at a five-word Jaccard similarity of 0.8.
-
-A 64-bit SimHash does not reach this threshold: such pairs differ in about ten
-bits.  Candidates are rows that agree in a band of min-hashes of their shingle
-sets; with ``BANDS`` bands of ``ROWS`` a pair at the threshold is missed with a
-chance of 5 in 100,000, and a more similar one more rarely.  Every candidate is
+"""SimHash near-deduplication, verified at a five-word Jaccard similarity of 0.8.
+
+Candidates are rows whose SimHash fingerprints, of five-word shingles, are within
+``DISTANCE`` bits, found in partitions of correlated bits (``simhash.near_links``).
+Pairs at the threshold differ in about ten bits of 64, more than such partitions
+reach, so rows are candidates too that agree in a band of min-hashes of their shingle
+sets: with ``BANDS`` bands of ``ROWS`` a pair at the threshold is missed by these with
+a chance of 5 in 100,000, and a more similar one more rarely.  Every candidate is
 verified on its whole set (of 64-bit shingle hashes) against all rows of the
-component of rows that share bands, whatever its size: one task takes a component
+component of rows that either way connects, whatever its size: one task takes a component
 up to ``TOGETHER``, and a longer one is dealt out in pairs of blocks, which meet
 all its pairs too.  A group returns a spanning forest of its links.
 """
@@ -19,10 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import simhash
 from .common import LAST_ID, checkpoint, release, with_row_number
 from .components import connected_components
 
 WORDS = 5
+#: Bits in which fingerprints of candidates differ at most.
+DISTANCE = simhash.DISTANCE
 #: The similarity threshold, 4 / 5, as whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bands of min-hashes, and how many make up a band.
@@ -64,13 +69,23 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), simhash.CHUNK):
+        ones += np.unpackbits(hashes[at : at + simhash.CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, band, h: a row's fingerprint under band -1, and its keys."""
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             part = batch.slice(at, 128)
-            keys = bands([shingles(t.as_py()) for t in part.column(1)])
-            row = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-            band = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
+            sets = [shingles(t.as_py()) for t in part.column(1)]
+            keys = np.column_stack([np.array([fingerprint(s) for s in sets], np.int64), bands(sets)])
+            row = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS + 1)
+            band = np.tile(np.arange(-1, BANDS, dtype=np.int32), part.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(band), pa.array(keys.ravel())], names=["row", "band", "h"])
 
 
@@ -144,15 +159,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """node, component: rows (columns row, text) that shared bands connect; a row that shares none is left out."""
+    """node, component: rows (columns row, text) that near fingerprints or shared bands connect; a row that has neither is left out."""
     index = checkpoint(texts.mapInArrow(_keys, "row long, band int, h long"))
-    buckets = index.groupBy("band", "h").agg(
+    prints = index.where("band < 0").select("row", F.col("h").alias("fp"))
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("row").alias("least")))
+    end = lambda c: classes.select(F.col("fp").alias(f"{c}_fp"), F.col("least").alias(c))
+    near = simhash.near_links(classes.select("fp"), DISTANCE).select(F.col("u").alias("u_fp"), F.col("v").alias("v_fp"))
+    alike = near.join(end("u"), "u_fp").join(end("v"), "v_fp").select("u", "v")
+    equal = prints.join(classes, "fp").where("row <> least").select(F.col("row").alias("u"), F.col("least").alias("v"))
+    buckets = index.where("band >= 0").groupBy("band", "h").agg(
         F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.bit_xor(F.xxhash64("row")).alias("c"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("d")
     ).where("n > 1")
     # of the buckets with the same members one is enough
     once = buckets.groupBy("n", "a", "c", "d").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "a")
-    held = checkpoint(index.join(once, ["band", "h"]).select(F.col("row").alias("u"), F.col("a").alias("v")))
-    release(index)
+    shared = index.join(once, ["band", "h"]).select(F.col("row").alias("u"), F.col("a").alias("v"))
+    held = checkpoint(shared.unionByName(alike).unionByName(equal))
+    release(index, classes)
     parts = checkpoint(connected_components(held).distinct())
     release(held)
     return parts
